@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -10,6 +10,24 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    An expression named inside an item-by-item function would else be computed for every item.
+    """
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
+def item_rows(df: DataFrame, keep, array: Column | str, pos: str = "pos", item: str = "item") -> DataFrame:
+    """One row per array item with its 0-based position; rows with empty or null arrays vanish.
+
+    The outer form is used and its null rows are dropped afterwards: for the plain form Spark adds a
+    test of the array before the explode, which computes a derived array a second time.
+    """
+    out = df.select(*keep, F.posexplode_outer(col(array)).alias(pos, item))
+    return out.filter(F.col(pos).isNotNull())
+
+
 def total(arr: Column | str) -> Column:
     return F.aggregate(col(arr), F.lit(0.0), lambda a, x: a + x.cast("double"))
 
@@ -58,7 +76,8 @@ def l2_unit(arr: Column | str) -> Column:
         lambda x: F.coalesce(finite(x.cast("double")), F.lit(0.0)),
     )
     norm = F.sqrt(F.aggregate(clean, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(clean, lambda x: x / F.when(norm == 0.0, F.lit(1.0)).otherwise(norm))
+    safe = F.when(norm == 0.0, F.lit(1.0)).otherwise(norm)
+    return let(safe, lambda n: F.transform(clean, lambda x: x / n))
 
 
 def index_below(edges: Column | str, value: Column, size: int | None = None) -> Column:

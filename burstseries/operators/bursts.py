@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burstseries.functions.arrays import head
+from burstseries.functions.arrays import head, item_rows, let
 from burstseries.functions.ordered import chunked_scan, join_on
 
 # Fixed pattern: the summary line of a ping run; the second figure is the mean.
@@ -103,7 +103,7 @@ def gather_bursts(rows: DataFrame, keys: Sequence[str], keep_bins: bool = False)
     """Long form to one row per key with ordered arrays; ``rows`` has been cut to a number per key."""
     cell = F.struct("pos", "bin", "bi", "ibg")
     got = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(cell)).alias("__c"))
-    part = {n: F.transform("__c", lambda c, n=n: c[n]) for n in ("bin", "bi", "ibg")}
+    part = {n: F.col(f"__c.{n}") for n in ("bin", "bi", "ibg")}
     out = got.select(
         *keys,
         F.get(part["bin"], F.lit(0)).alias("first_bin"),
@@ -127,13 +127,16 @@ def active_cells(arr: Column, threshold: float, bins: Column | None = None) -> C
 
 
 def gaps(cells: Column, unit: int = 1) -> Column:
-    return F.transform(
-        cells,
-        lambda c, i: F.when(i == 0, F.lit(0).cast("long"))
-        .otherwise(c["bin"] - F.get(cells, i - 1)["bin"])
-        .cast("long")
-        * unit,
-    )
+    def steps(own: Column) -> Column:
+        return F.transform(
+            own,
+            lambda c, i: F.when(i == 0, F.lit(0).cast("long"))
+            .otherwise(c["bin"] - F.get(own, i - 1)["bin"])
+            .cast("long")
+            * unit,
+        )
+
+    return let(cells, steps)
 
 
 def bursts_from_series(
@@ -208,8 +211,8 @@ def burst_chunks(rows: DataFrame, keys: Sequence[str], seq_len: int, store_bins:
 
 def burst_long(bursts: DataFrame, keys: Sequence[str], arrays: Sequence[str] = ("bi", "ibg")) -> DataFrame:
     """Burst arrays to one row per burst."""
-    zipped = F.arrays_zip(*arrays)
-    return bursts.select(*keys, "first_bin", F.posexplode(zipped).alias("pos", "__z")).select(
+    rows = item_rows(bursts, [*keys, "first_bin"], F.arrays_zip(*arrays), item="__z")
+    return rows.select(
         *keys, "first_bin", F.col("pos").cast("long").alias("pos"), *[F.col(f"__z.{a}").alias(a) for a in arrays]
     )
 
@@ -234,25 +237,30 @@ def segment_length(gap: Column, cap: int = 10_000) -> Column:
 
 def expand_timeline(ibg: Column, bi: Column, cap: int = 10_000) -> Column:
     """Per burst (gap - 1) zeros, then its value, over the common length of both arrays."""
-    n = F.least(F.size(ibg), F.size(bi))
     zero = F.lit(0.0)
-    parts = F.zip_with(
-        head(ibg, n),
-        head(bi, n),
-        lambda g, v: F.concat(F.array_repeat(zero, segment_length(g, cap) - 1), F.array(v.cast("double"))),
-    )
-    return F.flatten(parts)
+
+    def spread(s: Column) -> Column:
+        n = F.least(F.size(s["g"]), F.size(s["v"]))
+        parts = F.zip_with(
+            head(s["g"], n),
+            head(s["v"], n),
+            lambda g, v: F.concat(F.array_repeat(zero, segment_length(g, cap) - 1), F.array(v.cast("double"))),
+        )
+        return F.flatten(parts)
+
+    return let(F.struct(ibg.alias("g"), bi.alias("v")), spread)
 
 
 def bursts_covering(ibg: Column, prefix: Column, cap: int = 10_000) -> Column:
     """Smallest number of leading bursts whose segments reach ``prefix`` slots, or all of them."""
-    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0).alias("k"))
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0).alias("k"), prefix.cast("long").alias("want"))
     walked = F.aggregate(
         ibg,
         start,
         lambda a, g: F.struct(
             (a["seen"] + segment_length(g, cap)).alias("seen"),
-            (a["k"] + (a["seen"] < prefix).cast("int")).alias("k"),
+            (a["k"] + (a["seen"] < a["want"]).cast("int")).alias("k"),
+            a["want"].alias("want"),
         ),
     )
     return F.when(prefix <= 0, F.lit(0)).otherwise(walked["k"])

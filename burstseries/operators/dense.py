@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burstseries.functions.arrays import count_where, head
+from burstseries.functions.arrays import head, let
 from burstseries.functions.ordered import join_on
 
 
@@ -61,23 +61,31 @@ def dense_series(
         ],
     )
     cells = near.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(cell)).alias("__cells"), F.min("first_bin").alias("first_bin")
+        F.array_sort(F.collect_list(cell)).alias("__cells"),
+        F.min("first_bin").alias("first_bin"),
+        F.min("last_bin").alias("__last"),
+        *[
+            F.sum(((F.col(src) >= threshold) & (F.col(src) > 0)).cast("int")).cast("int").alias(f"__k_{out}")
+            for out, src in values.items()
+        ],
     )
+    kept = [f"__k_{o}" for o in values]
+    cells = cells.filter((F.greatest(*kept) if len(kept) > 1 else F.col(kept[0])) >= min_len)
     zero = F.lit(0).cast(item_type)
 
     def spread(out: str) -> Column:
-        def one(c: Column, i: Column) -> Column:
-            before = F.when(i == 0, F.lit(-1).cast("long")).otherwise(F.get(F.col("__cells"), i - 1)["at"])
-            gap = (c["at"] - before - 1).cast("int")
-            return F.concat(F.array_repeat(zero, gap), F.array(c[out]))
-
-        return F.flatten(F.transform(F.col("__cells"), one))
-
-    arrays = cells.select(*keys, "first_bin", *[spread(o).alias(o) for o in values])
-    kept = {f"__k_{o}": count_where(o, lambda x: x > 0) for o in values}
-    counted = arrays.withColumns(kept)
-    most = F.greatest(*kept) if len(kept) > 1 else F.col(next(iter(kept)))
-    out = counted.filter(most >= min_len)
+        def whole(cells: Column) -> Column:
+            def one(c: Column, i: Column) -> Column:
+                before = F.when(i == 0, F.lit(-1).cast("long")).otherwise(F.get(cells, i - 1)["at"])
+                gap = (c["at"] - before - 1).cast("int")
+                return F.concat(F.array_repeat(zero, gap), F.array(c[out]))
+
+            rest = F.col("__last") - F.col("first_bin") - F.element_at(cells, -1)["at"]
+            return F.concat(F.flatten(F.transform(cells, one)), F.array_repeat(zero, rest.cast("int")))
+
+        return let(F.col("__cells"), whole)
+
+    out = cells.select(*keys, "first_bin", *[spread(o).alias(o) for o in values], *kept)
     if truncate == "kept":
         out = out.withColumns({o: head(o, F.col(f"__k_{o}")) for o in values})
     return out.drop(*kept)

@@ -8,24 +8,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from burstseries.functions.arrays import head
+from burstseries.functions.arrays import head, let
 from burstseries.operators.retrieval import PAD_ID
 
 
 def _w1(a: Column, b: Column) -> Column:
     """Transport cost between two weight arrays over positions 0, 1, ...: one walk over both."""
-    sa = F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    sb = F.aggregate(b, F.lit(0.0), lambda s, x: s + x)
-    both = F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    start = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("t"), F.lit(0.0).alias("last"))
+    zero = F.lit(0.0)
+
+    def walk(w: Column) -> Column:
+        sa = F.aggregate(w["a"], zero, lambda s, x: s + x)
+        sb = F.aggregate(w["b"], zero, lambda s, x: s + x)
+        both = F.zip_with(w["a"], w["b"], lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+        # the totals ride along in the state, so they are summed once
+        start = F.struct(
+            zero.alias("x"), zero.alias("y"), zero.alias("t"), zero.alias("last"), sa.alias("sa"), sb.alias("sb")
+        )
+        # the gap after the last position spans no distance
+        return F.aggregate(both, start, step, lambda s: s["t"] - s["last"])
 
     def step(s: Column, v: Column) -> Column:
         x, y = s["x"] + v["x"], s["y"] + v["y"]
-        gap = F.abs(x / sa - y / sb)
-        return F.struct(x.alias("x"), y.alias("y"), (s["t"] + gap).alias("t"), gap.alias("last"))
+        gap = F.abs(x / s["sa"] - y / s["sb"])
+        return F.struct(
+            x.alias("x"),
+            y.alias("y"),
+            (s["t"] + gap).alias("t"),
+            gap.alias("last"),
+            s["sa"].alias("sa"),
+            s["sb"].alias("sb"),
+        )
 
-    # the gap after the last position spans no distance
-    return F.aggregate(both, start, step, lambda s: s["t"] - s["last"])
+    return let(F.struct(a.alias("a"), b.alias("b")), walk)
 
 
 def common_length(a: Column, b: Column) -> Column:
@@ -57,15 +71,20 @@ def tail_wasserstein(truth: Column, pred: Column, threshold: float = 0.0, eps: f
 
     Positions where the truth is not over ``threshold`` carry only ``eps``; negative forecasts count as 0.
     """
-    left = F.transform(truth, lambda x: F.when(x <= threshold, F.lit(0.0)).otherwise(x.cast("double")) + eps)
-    right = F.transform(
-        truth,
-        lambda x, i: F.when(x <= threshold, F.lit(0.0)).otherwise(
-            F.greatest(F.coalesce(F.get(pred, i).cast("double"), F.lit(0.0)), F.lit(0.0))
+
+    def cost(s: Column) -> Column:
+        gt, pr = s["t"], s["p"]
+        left = F.transform(gt, lambda x: F.when(x <= threshold, F.lit(0.0)).otherwise(x.cast("double")) + eps)
+        right = F.transform(
+            gt,
+            lambda x, i: F.when(x <= threshold, F.lit(0.0)).otherwise(
+                F.greatest(F.coalesce(F.get(pr, i).cast("double"), F.lit(0.0)), F.lit(0.0))
+            )
+            + eps,
         )
-        + eps,
-    )
-    return F.when(F.size(truth) > 0, _w1(left, right))
+        return F.when(F.size(gt) > 0, _w1(left, right))
+
+    return let(F.struct(truth.alias("t"), pred.alias("p")), cost)
 
 
 def value_wasserstein(a: Column, b: Column) -> Column:
@@ -79,10 +98,16 @@ def value_wasserstein(a: Column, b: Column) -> Column:
 
 def z_scaled(arr: Column) -> Column:
     """Mean 0 and deviation 1; a series without spread becomes zeros."""
-    n = F.size(arr).cast("double")
-    mean = F.aggregate(arr, F.lit(0.0), lambda s, x: s + x) / F.nullif(n, F.lit(0.0))
-    dev = F.sqrt(F.aggregate(arr, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / F.nullif(n, F.lit(0.0)))
-    return F.transform(arr, lambda x: F.when(dev < 1e-12, F.lit(0.0)).otherwise((x - mean) / dev))
+    n = F.nullif(F.size(arr).cast("double"), F.lit(0.0))
+
+    def shifted(mean: Column) -> Column:
+        return F.transform(arr, lambda x: x - mean)
+
+    def scaled(d: Column) -> Column:
+        dev = F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, x: s + x * x) / n)
+        return let(dev, lambda s: F.transform(d, lambda x: F.when(s < 1e-12, F.lit(0.0)).otherwise(x / s)))
+
+    return let(let(F.aggregate(arr, F.lit(0.0), lambda s, x: s + x) / n, shifted), scaled)
 
 
 def warp_inputs(a: Column, b: Column, mode: str = "normalized") -> tuple[Column, Column]:

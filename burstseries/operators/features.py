@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from burstseries.functions.arrays import finite, keep_finite
+from burstseries.functions.arrays import finite, keep_finite, let
 from burstseries.functions.ordered import join_on
 
 PREFIX = "value__"
@@ -191,7 +191,7 @@ def extended_features(
     for r in sigmas:
         name = f"{r:g}".replace(".", "_")
         out[f"ratio_beyond_r_sigma__r_{name}"] = _share(
-            F.size(F.filter(dev, lambda d, r=r: F.abs(d) > F.lit(float(r)) * sd)).cast("double"), n
+            F.size(F.filter(dev, _beyond(r, sd))).cast("double"), n
         )
     for q in quantiles:
         out[f"quantile__q_{f'{q:g}'.replace('.', '_')}"] = _quantile(srt, n, q)
@@ -199,10 +199,7 @@ def extended_features(
         out[f"number_peaks__n_{k}"] = F.size(
             F.filter(
                 F.sequence(F.lit(k), F.greatest(F.size(s) - 1 - k, F.lit(k))),
-                lambda i, k=k: F.coalesce(
-                    _all_lower(s, i, k) & (i + k < F.size(s)),
-                    F.lit(False),
-                ),
+                _is_peak(s, k),
             )
         ).cast("double")
     # straight line through (0, x0), (1, x1), ...
@@ -219,14 +216,22 @@ def extended_features(
         s,
         lambda x: F.least(F.floor((x - lo) / F.nullif(width, F.lit(0.0))), F.lit(entropy_bins - 1)).cast("int"),
     )
-    shares = F.transform(
-        F.sequence(F.lit(0), F.lit(entropy_bins - 1)),
-        lambda b: F.size(F.filter(F.col("__cell"), lambda c: c == b)) / n,
-    )
-    entropy = -F.aggregate(shares, F.lit(0.0), lambda a, p: a + F.when(p > 0, p * F.ln(p)).otherwise(0.0))
-    out[f"binned_entropy__max_bins_{entropy_bins}"] = F.when(hi > lo, entropy).otherwise(F.lit(0.0))
-    six = five.withColumn("__cell", F.when(hi > lo, cell))
-    return six.select(*keys, *[c.alias(PREFIX + k) for k, c in out.items()])
+
+    def entropy(cells: Column) -> Column:
+        every = F.sequence(F.lit(0), F.lit(entropy_bins - 1))
+        shares = F.transform(every, lambda b: F.size(F.filter(cells, lambda c: c == b)) / F.size(cells))
+        return -F.aggregate(shares, F.lit(0.0), lambda a, p: a + F.when(p > 0, p * F.ln(p)).otherwise(0.0))
+
+    out[f"binned_entropy__max_bins_{entropy_bins}"] = F.when(hi > lo, let(cell, entropy)).otherwise(F.lit(0.0))
+    return five.select(*keys, *[c.alias(PREFIX + k) for k, c in out.items()])
+
+
+def _beyond(r: float, sd: Column):
+    return lambda d: F.abs(d) > F.lit(float(r)) * sd
+
+
+def _is_peak(s: Column, support: int):
+    return lambda i: F.coalesce(_all_lower(s, i, support) & (i + support < F.size(s)), F.lit(False))
 
 
 def _all_lower(s: Column, i: Column, support: int) -> Column:
@@ -291,11 +296,17 @@ def simple_stats(series: DataFrame, keys: Sequence[str], columns: Sequence[str]
 def fano(arr: Column, sample: bool = False) -> Column:
     """Variance over mean of the finite items; null under two items or when the mean is not over 1e-12."""
     x = F.transform(keep_finite(arr), lambda v: v.cast("double"))
-    n = F.size(x)
-    mean = _share(_sum(x), n.cast("double"))
-    spread = F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
-    var = spread / F.nullif((n - (1 if sample else 0)).cast("double"), F.lit(0.0))
-    return F.when((n >= 2) & (mean > 1e-12), var / mean)
+
+    def figure(f: Column) -> Column:
+        n, mean = F.size(f["x"]), f["mean"]
+        spread = F.aggregate(f["x"], F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
+        var = spread / F.nullif((n - (1 if sample else 0)).cast("double"), F.lit(0.0))
+        return F.when((n >= 2) & (mean > 1e-12), var / mean)
+
+    def with_mean(v: Column) -> Column:
+        return F.struct(v.alias("x"), _share(_sum(v), F.size(v).cast("double")).alias("mean"))
+
+    return let(let(x, with_mean), figure)
 
 
 # ---- wide tables --------------------------------------------------------------------------

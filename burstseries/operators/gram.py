@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from burstseries.functions.arrays import dot, finite, lit_array
+from burstseries.functions.arrays import dot, finite, let, lit_array
 from burstseries.functions.ordered import join_on, with_row
 from burstseries.operators.features import to_long
 
@@ -194,7 +194,11 @@ def unit_rows(vectors: DataFrame, vector: str) -> DataFrame:
     kept = vectors.filter(~F.exists(vector, lambda x: x.isNull() | F.isnan(x)))
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     return kept.withColumn(
-        vector, F.transform(vector, lambda x: x.cast("double") / F.when(norm == 0.0, F.lit(1.0)).otherwise(norm))
+        vector,
+        let(
+            F.when(norm == 0.0, F.lit(1.0)).otherwise(norm),
+            lambda n: F.transform(vector, lambda x: x.cast("double") / n),
+        ),
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burstseries.functions.arrays import count_where, head, total_long
+from burstseries.functions.arrays import count_where, head, item_rows, total_long
 from burstseries.functions.hashing import hash_hex, unit_hash
 from burstseries.functions.ordered import global_row_number, join_on, with_row
 
@@ -233,7 +233,7 @@ def split_loader(splits: DataFrame, min_len: int) -> DataFrame:
 
 def nested_loader(df: DataFrame, keys: Sequence[str], column: str, min_len: int, max_len: int | None = None):
     """Legacy nested arrays: inner arrays led by 0 are kept, the lead dropped, pads and zeros stripped."""
-    each = df.select(*keys, F.posexplode(column).alias("part", "__a"))
+    each = item_rows(df, keys, column, "part", "__a")
     kept = each.filter(F.get("__a", F.lit(0)) == 0)
     values = F.filter(F.slice("__a", 2, F.greatest(F.size("__a") - 1, F.lit(0))), lambda x: (x != -1) & (x != 0))
     out = kept.select(*keys, "part", values.alias("series")).filter(F.size("series") >= min_len)
@@ -242,12 +242,12 @@ def nested_loader(df: DataFrame, keys: Sequence[str], column: str, min_len: int,
 
 def series_long(series: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     """``(key, time_index, value)`` rows of an array column."""
-    return series.select(*keys, F.posexplode(column).alias("time_index", "value"))
+    return item_rows(series, keys, column, "time_index", "value")
 
 
 def aligned_long(pairs: DataFrame, keys: Sequence[str], left: str, right: str) -> DataFrame:
     """Both series of a pair side by side per index; the shorter one is null at its end."""
     zipped = F.arrays_zip(F.col(left).alias("l"), F.col(right).alias("r"))
-    return pairs.select(*keys, F.posexplode(zipped).alias("time_index", "__z")).select(
+    return item_rows(pairs, keys, zipped, "time_index", "__z").select(
         *keys, "time_index", F.col("__z.l").alias("left_value"), F.col("__z.r").alias("right_value")
     )

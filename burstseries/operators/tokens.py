@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burstseries.functions.arrays import index_below, lit_array
+from burstseries.functions.arrays import index_below, let, lit_array
 
 SMALLEST_VALID = 1e-12
 
@@ -49,26 +49,33 @@ def decode_global(ids: Column, edges: Sequence[float], *, n_special: int, decode
 
 def local_edges(values: Column, bins: int) -> Column:
     """``bins - 1`` inner quantiles (linear) of a series' own valid items; empty data gives zeros."""
-    ordered = F.array_sort(F.filter(F.transform(values, lambda v: v.cast("double")), is_valid))
-    n = F.size(ordered)
+    valid = F.array_sort(F.filter(F.transform(values, lambda v: v.cast("double")), lambda v: is_valid(v)))
 
-    def at(level: Column) -> Column:
-        where = level * (n - 1)
-        lo = F.floor(where).cast("int")
-        a, b = F.get(ordered, lo), F.get(ordered, F.least(lo + 1, n - 1))
-        return F.coalesce(a + (b - a) * (where - lo), F.lit(0.0))
+    def cuts(ordered: Column) -> Column:
+        n = F.size(ordered)
 
-    return F.transform(lit_array([i / bins for i in range(1, bins)]), at)
+        def at(level: Column) -> Column:
+            where = level * (n - 1)
+            lo = F.floor(where).cast("int")
+            a, b = F.get(ordered, lo), F.get(ordered, F.least(lo + 1, n - 1))
+            return F.coalesce(a + (b - a) * (where - lo), F.lit(0.0))
+
+        return F.transform(lit_array([i / bins for i in range(1, bins)]), at)
+
+    return let(valid, cuts)
 
 
 def encode_local(values: Column, edges: Column, *, bins: int, n_special: int, n_tokens: int, pad: int = 0) -> Column:
     """Ids by the series' own edges; with no bins every valid item gets the first real id."""
 
-    def one(v: Column) -> Column:
-        at = index_below(edges, v.cast("double"), bins - 1) + n_special if bins > 0 else F.lit(n_special)
-        return F.when(is_valid(v), _clamp(at, 0, n_tokens - 1)).otherwise(F.lit(pad)).cast("int")
+    def all_ids(own: Column) -> Column:
+        def one(v: Column) -> Column:
+            at = index_below(own, v.cast("double"), bins - 1) + n_special if bins > 0 else F.lit(n_special)
+            return F.when(is_valid(v), _clamp(at, 0, n_tokens - 1)).otherwise(F.lit(pad)).cast("int")
 
-    return F.transform(values, one)
+        return F.transform(values, one)
+
+    return let(edges, all_ids)
 
 
 def encode_integer(values: Column, *, bins: int, n_special: int, n_tokens: int, pad: int = 0) -> Column:
