@@ -10,7 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -289,6 +289,11 @@ def first_component(vectors: DataFrame, vector: str) -> tuple[list[float], list[
     return [float(m) for m in mean], [float(x) for x in lead * np.sign(lead[np.argmax(np.abs(lead))])]
 
 
+def pearson(x: str, y: str) -> Column:
+    """Correlation, null where a side has no spread."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def component_alignment(
     df: DataFrame, vector: str, features: Sequence[str], ids: Sequence[str], min_rows: int = 3
 ) -> DataFrame:
@@ -302,7 +307,7 @@ def component_alignment(
     )
     agg = pairs.groupBy("feature").agg(
         F.count(F.lit(1)).alias("n"),
-        F.corr("__pc", "value").alias("__c"),
+        pearson("__pc", "value").alias("__c"),
         F.stddev_pop("value").alias("__sd"),
     )
     usable = (F.col("n") >= min_rows) & (F.col("__sd") > 0)

@@ -211,36 +211,39 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feature table of the hourly series, named like the vectors' ids."""
-    feats = minimal_features(series(spark, sf_dir), ["user_id"], "inbound")
+    """Feature table of the hourly series in whole currency units, named like the vectors' ids."""
+    whole = F.transform("inbound", lambda x: x / 100.0).alias("inbound")
+    feats = minimal_features(series(spark, sf_dir).select("user_id", whole), ["user_id"], "inbound")
     return feats.withColumnRenamed("user_id", "vec_id")
 
 
 def labelled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features joined with cluster labels."""
     labels = vectors(spark, sf_dir).select("vec_id", "cluster_id")
-    return user_features(spark, sf_dir).join(labels, "vec_id")
+    feats = user_features(spark, sf_dir).select("vec_id", *FEATURES)
+    return feats.join(labels, "vec_id")
 
 
 FEATURE_NAMES = [
-    "sum_values", "median", "mean", "length", "standard_deviation", "variance",
-    "root_mean_square", "maximum", "absolute_maximum", "minimum",
+    "median", "mean", "length", "standard_deviation", "variance",
+    "root_mean_square", "maximum", "minimum",
 ]
 FEATURES = [f"value__{f}" for f in FEATURE_NAMES]
 
 
-def feature_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return to_long(labelled_features(spark, sf_dir), ["cluster_id", "vec_id"], FEATURES)
+def feature_long(spark: SparkSession, sf_dir: str, table: DataFrame | None = None) -> DataFrame:
+    source = labelled_features(spark, sf_dir) if table is None else table
+    return to_long(source, ["cluster_id", "vec_id"], FEATURES)
 
 
 USER_FEATURES = SERIES + """,
+dollars AS (SELECT user_id, i, vin / 100.0::DOUBLE AS v FROM series),
 user_features AS (
-  SELECT user_id AS vec_id, sum(vin)::DOUBLE AS value__sum_values, median(vin)::DOUBLE AS value__median,
-         avg(vin) AS value__mean, count(*)::DOUBLE AS value__length,
-         stddev_pop(vin) AS value__standard_deviation, var_pop(vin) AS value__variance,
-         sqrt(avg(vin::DOUBLE * vin)) AS value__root_mean_square, max(vin)::DOUBLE AS value__maximum,
-         max(abs(vin))::DOUBLE AS value__absolute_maximum, min(vin)::DOUBLE AS value__minimum
-  FROM series GROUP BY ALL)"""
+  SELECT user_id AS vec_id, median(v) AS value__median,
+         avg(v) AS value__mean, count(*)::DOUBLE AS value__length,
+         stddev_pop(v) AS value__standard_deviation, var_pop(v) AS value__variance,
+         sqrt(avg(v * v)) AS value__root_mean_square, max(v) AS value__maximum, min(v) AS value__minimum
+  FROM dollars GROUP BY ALL)"""
 
 FEATURE_LONG = USER_FEATURES + """,
 labelled AS (

@@ -104,11 +104,13 @@ def scan_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def scan_member_lists(spark: SparkSession, paths: str | Sequence[str], id_columns: Sequence[str]) -> DataFrame:
-    """JSON arrays of id records; each row carries the name of the folder its file lies in."""
+def scan_member_lists(
+    spark: SparkSession, paths: str | Sequence[str], id_columns: Sequence[str], one_per_file: bool = True
+) -> DataFrame:
+    """JSON arrays of id records, one per file or one per line; rows carry the name of their folder."""
     schema = ", ".join(f"`{c}` string" for c in id_columns)
     paths = [paths] if isinstance(paths, str) else list(paths)
-    raw = spark.read.schema(schema).option("multiLine", "true").json(paths)
+    raw = spark.read.schema(schema).option("multiLine", one_per_file).option("recursiveFileLookup", "true").json(paths)
     folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
     return raw.select(folder.alias("member_group"), *id_columns)
 
