@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -145,34 +147,42 @@ def warp_distance(a: np.ndarray, b: np.ndarray) -> float:
     return float(last[n])
 
 
-@F.pandas_udf(T.DoubleType())
-def dtw(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = [
-        None if x is None or y is None else warp_distance(np.asarray(x, dtype=float), np.asarray(y, dtype=float))
-        for x, y in zip(a, b, strict=True)
-    ]
-    return pd.Series(out, dtype="float64").where(lambda s: s.notna(), None)
+WARPED = {"dtw_distance_normalized": ("__na", "__nb"), "dtw_distance_unnormalized": ("__ra", "__rb")}
+
+
+def _warp_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for name, (a, b) in WARPED.items():
+            frame[name] = [
+                None if x is None or y is None else warp_distance(np.asarray(x, dtype=float), np.asarray(y, dtype=float))
+                for x, y in zip(frame[a], frame[b], strict=True)
+            ]
+            frame[name] = frame[name].astype("Float64")
+        yield frame.drop(columns=[c for pair in WARPED.values() for c in pair])
 
 
 def pair_distances(pairs: DataFrame, left: str, right: str) -> DataFrame:
-    """The four distances of each row's two series; null where a series is missing."""
+    """The four distances of each row's two series in place of the series; null where one is missing.
+
+    Only the prepared series travel to Python, where the quadratic warping table is walked.
+    """
     a, b = F.col(left), F.col(right)
     norm, raw = warp_inputs(a, b, "normalized"), warp_inputs(a, b, "unnormalized")
     there = a.isNotNull() & b.isNotNull() & (common_length(a, b) > 0)
-    # spread the quadratic work evenly: pairs arrive clustered by query
-    ready = pairs.withColumns(
-        {
-            "wasserstein_distance_normalized": F.when(there, time_wasserstein(a, b)),
-            "wasserstein_distance_unnormalized": F.when(there, value_wasserstein(a, b)),
-            "__na": F.when(there, norm[0]),
-            "__nb": F.when(there, norm[1]),
-            "__ra": F.when(there, raw[0]),
-            "__rb": F.when(there, raw[1]),
-        }
+    keep = [c for c in pairs.columns if c not in (left, right)]
+    ready = pairs.select(
+        *keep,
+        F.when(there, time_wasserstein(a, b)).alias("wasserstein_distance_normalized"),
+        F.when(there, value_wasserstein(a, b)).alias("wasserstein_distance_unnormalized"),
+        F.when(there, norm[0]).alias("__na"),
+        F.when(there, norm[1]).alias("__nb"),
+        F.when(there, raw[0]).alias("__ra"),
+        F.when(there, raw[1]).alias("__rb"),
     )
-    return ready.withColumns(
-        {"dtw_distance_normalized": dtw("__na", "__nb"), "dtw_distance_unnormalized": dtw("__ra", "__rb")}
-    ).drop("__na", "__nb", "__ra", "__rb")
+    hidden = {c for pair in WARPED.values() for c in pair}
+    fields = [f for f in ready.schema if f.name not in hidden]
+    fields += [T.StructField(n, T.DoubleType()) for n in WARPED]
+    return ready.mapInPandas(_warp_batches, T.StructType(fields))
 
 
 def distance_rows(neighbors: DataFrame, series: DataFrame, *, series_key: str = "point_id", column: str = "series"):
@@ -185,8 +195,11 @@ def distance_rows(neighbors: DataFrame, series: DataFrame, *, series_key: str =
     left = side.withColumnsRenamed({"__k": "test_point_id", "__s": "__eval"})
     right = side.withColumnsRenamed({"__k": "neighbor_id", "__s": "__near"})
     joined = neighbors.join(left, "test_point_id", "left").join(right, "neighbor_id", "left")
-    spread = joined.repartition("test_point_id", "rank")
-    got = pair_distances(spread, "__eval", "__near")
+    flagged = joined.withColumns(
+        {"eval_found": F.col("__eval").isNotNull(), "neighbor_found": F.col("__near").isNotNull()}
+    )
+    # the quadratic work is spread by pair, as a popular neighbour would else sit in one task
+    got = pair_distances(flagged.repartition("test_point_id", "rank"), "__eval", "__near")
     return got.select(
         "test_point_id",
         F.coalesce("neighbor_id", F.lit(PAD_ID)).alias("neighbor_id"),
@@ -198,6 +211,6 @@ def distance_rows(neighbors: DataFrame, series: DataFrame, *, series_key: str =
         "dtw_distance_normalized",
         "dtw_distance_unnormalized",
         "neighbor_count",
-        F.col("__eval").isNotNull().alias("eval_found"),
-        F.col("__near").isNotNull().alias("neighbor_found"),
+        "eval_found",
+        "neighbor_found",
     )

@@ -93,20 +93,24 @@ def block_top_k(
     else:
         group_cols = group
 
+    # fresh column identities: both sides may come from one table
+    queries = queries.select(*[F.col(c).alias(c) for c in (*group_cols, query_id, vector)])
+    base = base.select(*[F.col(c).alias(c) for c in (*group_cols, base_id, vector)])
+
     def blocks(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy(*group_cols).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
 
     sizes = join_on(blocks(queries, "__nq"), blocks(base, "__nb"), group_cols)
     own_q = F.pmod(hash32([query_id], "q"), F.col("__nq")).cast("int")
     own_b = F.pmod(hash32([base_id], "b"), F.col("__nb")).cast("int")
-    left = join_on(queries.select(*group_cols, query_id, vector), sizes, group_cols).select(
+    left = join_on(queries, sizes, group_cols).select(
         *group_cols,
         query_id,
         vector,
         own_q.alias("__qb"),
         F.explode(F.sequence(F.lit(0), F.col("__nb") - 1)).alias("__bb"),
     )
-    right = join_on(base.select(*group_cols, base_id, vector), sizes, group_cols).select(
+    right = join_on(base, sizes, group_cols).select(
         *group_cols,
         base_id,
         vector,
