@@ -288,6 +288,20 @@ def probe_grid(
     )
 
 
+def train_id_map(manifest: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
+    """Train ids with their cluster and point, as the grid's neighbours are named."""
+    return manifest.filter(F.col("split") == "train").select("train_id", "cluster_id", "point_id", *columns)
+
+
+def stack_models(tables: dict[str, DataFrame], order: Sequence[str]) -> DataFrame:
+    """Result tables of several models in one, sorted by model and ``order``."""
+    parts = [df.withColumn("model", F.lit(name)) for name, df in tables.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.orderBy("model", *order)
+
+
 def grid_wide(grid: DataFrame, probes: Sequence[int], query_id: str = "query_id") -> DataFrame:
     """One row per query with neighbour and cluster columns per probe count."""
     aggs = []

@@ -213,13 +213,20 @@ def positive_only(series: DataFrame, columns: Sequence[str], min_len: int, max_l
     return out if max_len is None else out.withColumns({c: head(c, max_len) for c in columns})
 
 
-def burst_loader(bursts: DataFrame, min_len: int, max_len: int | None = None) -> DataFrame:
-    """Burst pairs fit for training: null arrays are empty, both long enough and equally long."""
+def burst_loader(
+    bursts: DataFrame, min_len: int, max_len: int | None = None, limit: int | None = None
+) -> DataFrame:
+    """Burst pairs fit for training: null arrays are empty, both long enough and equally long.
+
+    ``limit`` is the loader's own option for trial runs.
+    """
     fill = {a: F.coalesce(F.col(a), F.array().cast(bursts.schema[a].dataType)) for a in ("bi", "ibg")}
     out = bursts.withColumns(fill).filter(
         (F.size("bi") >= min_len) & (F.size("ibg") >= min_len) & (F.size("bi") == F.size("ibg"))
     )
-    return out if max_len is None else out.withColumns({a: head(a, max_len) for a in ("bi", "ibg")})
+    if max_len is not None:
+        out = out.withColumns({a: head(a, max_len) for a in ("bi", "ibg")})
+    return out if limit is None else out.limit(limit)
 
 
 def split_loader(splits: DataFrame, min_len: int) -> DataFrame:

@@ -275,11 +275,11 @@ z AS (SELECT test_id, rank, list(CASE WHEN sa < 1e-12 THEN 0.0 ELSE (a - ma) / s
              list(CASE WHEN sb < 1e-12 THEN 0.0 ELSE (b - mb) / sb END ORDER BY i) AS zb
       FROM masked JOIN st USING (test_id, rank) GROUP BY ALL),
 raw AS (SELECT test_id, rank, list(greatest(a / 1e6, 0) ORDER BY i) AS za, list(greatest(b / 1e6, 0) ORDER BY i) AS zb FROM joined GROUP BY ALL),
-both AS (SELECT 'n' AS mode, * FROM z UNION ALL SELECT 'u', * FROM raw)"""
+arms AS (SELECT 'n' AS mode, * FROM z UNION ALL SELECT 'u', * FROM raw)"""
 
 DTW_SQL = f"""WITH RECURSIVE {DTW},
     dp AS (
-      SELECT mode, test_id, rank, za, zb, 0 AS i, list_concat([0.0::DOUBLE], list_transform(range(1, len(zb) + 1), lambda k: 'inf'::DOUBLE)) AS line FROM both
+      SELECT mode, test_id, rank, za, zb, 0 AS i, list_concat([0.0::DOUBLE], list_transform(range(1, len(zb) + 1), lambda k: 'inf'::DOUBLE)) AS line FROM arms
       UNION ALL
       SELECT mode, test_id, rank, za, zb, i + 1, list_reduce(list_transform(range(1, len(zb) + 1), lambda j: [j::DOUBLE]),
                lambda acc, j: list_append(acc, abs(za[i + 1] - zb[j[1]::BIGINT]) + least(line[j[1]::BIGINT + 1], acc[len(acc)], line[j[1]::BIGINT])), ['inf'::DOUBLE])
