@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -68,99 +68,167 @@ def unit_vectors(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumn(vector, l2_unit(vector))
 
 
-def block_top_k(
-    queries: DataFrame,
-    base: DataFrame,
-    k: int,
-    *,
-    group: Sequence[str] = (),
-    query_id: str = "query_id",
-    base_id: str = "base_id",
-    vector: str = "vector",
-    block_rows: int = 20_000,
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def _pick(score: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the ``k`` largest scores, ties to the smaller name; the k-th score bounds the sort."""
+    near = np.arange(len(score))
+    if k * 4 < len(score):
+        near = np.flatnonzero(score >= -np.partition(-score, k - 1)[k - 1])
+    order = np.lexsort((names[near], -score[near]))
+    return near[order[:k]]
+
+
+def _matrix(vectors) -> np.ndarray:
+    return np.stack([np.asarray(v, dtype=float) for v in vectors])
+
+
+def _scan_top_k(
+    queries: DataFrame, base: DataFrame, k: int, group: list[str], query_id: str, base_id: str, vector: str, schema
 ) -> DataFrame:
-    """The ``k`` base rows of largest inner product per query (and group), as ``group, query_id,
-    base_id, score``; ties go to the smaller base id.
+    """Few queries: they go to every task and the base table is scanned where it lies, unshuffled.
 
-    Both sides are cut into blocks of about ``block_rows`` rows inside each group, so a group that
-    holds a third of all rows becomes many equal cells. A cell multiplies two small matrices and
-    returns at most ``k`` rows per query; the survivors are ranked per query.
+    A task keeps ``k`` candidates per query of its own rows and emits them at its end.
     """
-    group = list(group)
-    if not group:
-        queries, base = queries.withColumn("__g", F.lit(0)), base.withColumn("__g", F.lit(0))
-        group_cols = ["__g"]
-    else:
-        group_cols = group
+    known = queries.toPandas()
+    table = {
+        key: (part[query_id].to_numpy(), _matrix(part[vector])) for key, part in known.groupby(group, sort=False)
+    }
+    sent = base.sparkSession.sparkContext.broadcast(table)
+    columns = [f.name for f in schema]
 
-    # fresh column identities: both sides may come from one table
-    queries = queries.select(*[F.col(c).alias(c) for c in (*group_cols, query_id, vector)])
-    base = base.select(*[F.col(c).alias(c) for c in (*group_cols, base_id, vector)])
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict = {}
+        for frame in frames:
+            for key, part in frame.groupby(group, sort=False):
+                if key not in sent.value:
+                    continue
+                _, left = sent.value[key]
+                names, right = part[base_id].to_numpy(), _matrix(part[vector])
+                old = kept.get(key) or [(names[:0], np.empty(0))] * len(left)
+                new = []
+                for start in range(0, len(left), 256):
+                    for at, row in enumerate(left[start : start + 256] @ right.T, start):
+                        pick = _pick(row, names, k)
+                        ids = np.concatenate([old[at][0], names[pick]])
+                        score = np.concatenate([old[at][1], row[pick]])
+                        best = _pick(score, ids, k)
+                        new.append((ids[best], score[best]))
+                kept[key] = new
+        for key, rows in kept.items():
+            counts = [len(ids) for ids, _ in rows]
+            yield pd.DataFrame(
+                {
+                    **{g: key[i] for i, g in enumerate(group)},
+                    query_id: np.repeat(sent.value[key][0], counts),
+                    base_id: np.concatenate([ids for ids, _ in rows]),
+                    "score": np.concatenate([score for _, score in rows]),
+                }
+            )[columns]
+
+    return base.select(*group, base_id, vector).mapInPandas(scan, schema)
+
+
+def _cell_top_k(
+    queries: DataFrame,
+    base: DataFrame,
+    k: int,
+    group: list[str],
+    query_id: str,
+    base_id: str,
+    vector: str,
+    schema,
+    block_rows: int,
+) -> DataFrame:
+    """Many queries: both sides are cut into blocks inside each group and every block pair is one cell."""
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*group_cols).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
+        return df.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
 
-    sizes = join_on(blocks(queries, "__nq"), blocks(base, "__nb"), group_cols)
+    sizes = join_on(blocks(queries, "__nq"), blocks(base, "__nb"), group)
     own_q = F.pmod(hash32([query_id], "q"), F.col("__nq")).cast("int")
     own_b = F.pmod(hash32([base_id], "b"), F.col("__nb")).cast("int")
-    left = join_on(queries, sizes, group_cols).select(
-        *group_cols,
+    left = join_on(queries, sizes, group).select(
+        *group,
         query_id,
         vector,
         own_q.alias("__qb"),
         F.explode(F.sequence(F.lit(0), F.col("__nb") - 1)).alias("__bb"),
     )
-    right = join_on(base, sizes, group_cols).select(
-        *group_cols,
+    right = join_on(base, sizes, group).select(
+        *group,
         base_id,
         vector,
         F.explode(F.sequence(F.lit(0), F.col("__nq") - 1)).alias("__qb"),
         own_b.alias("__bb"),
     )
-    cell = [*group_cols, "__qb", "__bb"]
-    schema = T.StructType(
-        [
-            *[queries.schema[g] for g in group_cols],
-            queries.schema[query_id],
-            base.schema[base_id],
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
+    cell = [*group, "__qb", "__bb"]
     columns = [f.name for f in schema]
 
     def best(key, q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if q.empty or b.empty:
             return pd.DataFrame({c: [] for c in columns})
-        b = b.sort_values(base_id, kind="stable")
-        names = b[base_id].to_numpy()
-        right_m = np.stack([np.asarray(v, dtype=float) for v in b[vector]])
-        left_m = np.stack([np.asarray(v, dtype=float) for v in q[vector]])
-        top = min(k, len(b))
+        names, right_m, left_m = b[base_id].to_numpy(), _matrix(b[vector]), _matrix(q[vector])
         out = []
-        for start in range(0, len(q), 512):
-            score = left_m[start : start + 512] @ right_m.T
-            if top * 4 < len(b):
-                # everything at or over the k-th score stays in play, so ties are not lost
-                kth = -np.partition(-score, top - 1, axis=1)[:, top - 1]
-            else:
-                kth = np.full(len(score), -np.inf)
-            for at, (row, bound) in enumerate(zip(score, kth, strict=True)):
-                near = np.flatnonzero(row >= bound)
-                pick = near[np.argsort(-row[near], kind="stable")[:top]]
-                out.append((q[query_id].iloc[start + at], names[pick], row[pick]))
+        for start in range(0, len(q), 256):
+            for row in left_m[start : start + 256] @ right_m.T:
+                pick = _pick(row, names, k)
+                out.append((names[pick], row[pick]))
         return pd.DataFrame(
             {
-                **{g: key[i] for i, g in enumerate(group_cols)},
-                query_id: np.repeat([o[0] for o in out], [len(o[1]) for o in out]),
-                base_id: np.concatenate([o[1] for o in out]),
-                "score": np.concatenate([o[2] for o in out]),
+                **{g: key[i] for i, g in enumerate(group)},
+                query_id: np.repeat(q[query_id].to_numpy(), [len(o[0]) for o in out]),
+                base_id: np.concatenate([o[0] for o in out]),
+                "score": np.concatenate([o[1] for o in out]),
             }
         )[columns]
 
-    cells = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(best, schema)
-    w = Window.partitionBy(*group_cols, query_id).orderBy(F.col("score").desc(), base_id)
-    ranked = cells.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return ranked if group else ranked.drop("__g")
+    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(best, schema)
+
+
+def block_top_k(
+    queries: DataFrame,
+    base: DataFrame,
+    k: int,
+    *,
+    group: Sequence[str] = (),
+    query_id: str = "query_id",
+    base_id: str = "base_id",
+    vector: str = "vector",
+    block_rows: int = 20_000,
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """The ``k`` base rows of largest inner product per query (and group), as ``group, query_id,
+    base_id, score, rank``; ties go to the smaller base id.
+
+    The size of the query side is measured first. Up to ``broadcast_bytes`` the queries are sent to
+    the base table's tasks and nothing of it is shuffled; beyond that both sides are cut into block
+    cells. Either way a task returns at most ``k`` rows per query, whatever share of the base rows a
+    group holds, and the survivors are ranked per query.
+    """
+    grouped = list(group)
+    cols = grouped or ["__g"]
+    if not grouped:
+        queries, base = queries.withColumn("__g", F.lit(0)), base.withColumn("__g", F.lit(0))
+    # fresh column identities: both sides may come from one table
+    queries = queries.select(*[F.col(c).alias(c) for c in (*cols, query_id, vector)])
+    base = base.select(*[F.col(c).alias(c) for c in (*cols, base_id, vector)])
+    schema = T.StructType(
+        [
+            *[queries.schema[g] for g in cols],
+            queries.schema[query_id],
+            base.schema[base_id],
+            T.StructField("score", T.DoubleType()),
+        ]
+    )
+    if _bytes(queries, vector) <= broadcast_bytes:
+        found = _scan_top_k(queries, base, k, cols, query_id, base_id, vector, schema)
+    else:
+        found = _cell_top_k(queries, base, k, cols, query_id, base_id, vector, schema, block_rows)
+    w = Window.partitionBy(*cols, query_id).orderBy(F.col("score").desc(), base_id)
+    ranked = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return ranked if grouped else ranked.drop("__g")
 
 
 def exact_search(queries: DataFrame, base: DataFrame, k: int, **kw) -> DataFrame:
@@ -190,16 +258,54 @@ def train_lists(base: DataFrame, n_lists: int, vector: str = "vector", seed: int
     return spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], schema)
 
 
-def _probe(rows: DataFrame, lists: DataFrame, n_probe: int, row_id: str, vector: str) -> DataFrame:
-    named = lists.select("list_id", F.col("vector").alias(vector))
-    return block_top_k(rows, named, n_probe, query_id=row_id, base_id="list_id", vector=vector).select(
-        row_id, "list_id", F.col("rank").alias("probe_rank")
+def _bytes(df: DataFrame, vector: str) -> int:
+    return df.agg(F.sum(F.size(vector) * 8 + 64)).first()[0] or 0
+
+
+def with_nearest_lists(
+    rows: DataFrame,
+    lists: DataFrame,
+    n: int,
+    *,
+    row_id: str,
+    vector: str = "vector",
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """Every row once per each of its ``n`` nearest lists, with ``list_id`` and ``probe_rank``.
+
+    A centre table of measured small size goes to every task, so the rows stay where they are. A
+    larger one is searched in block cells and joined back.
+    """
+    if _bytes(lists, "vector") > broadcast_bytes:
+        named = lists.select("list_id", F.col("vector").alias(vector))
+        found = block_top_k(rows, named, n, query_id=row_id, base_id="list_id", vector=vector)
+        return join_on(rows, found.select(row_id, "list_id", F.col("rank").alias("probe_rank")), [row_id])
+    known = lists.orderBy("list_id").toPandas()
+    sent = rows.sparkSession.sparkContext.broadcast((known["list_id"].to_numpy(), _matrix(known["vector"])))
+    schema = T.StructType(
+        [*rows.schema, lists.schema["list_id"], T.StructField("probe_rank", T.IntegerType())]
     )
 
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, centers = sent.value
+        top = min(n, len(names))
+        for frame in frames:
+            if frame.empty:
+                continue
+            score = _matrix(frame[vector]) @ centers.T
+            if top == 1:
+                picks = score.argmax(axis=1)
+            else:
+                picks = np.concatenate([_pick(row, names, top) for row in score])
+            out = frame.loc[frame.index.repeat(top)]
+            yield out.assign(list_id=names[picks], probe_rank=np.tile(np.arange(1, top + 1), len(frame)).astype("int32"))
+
+    return rows.mapInPandas(scan, schema)
+
 
 def assign_lists(base: DataFrame, lists: DataFrame, base_id: str = "base_id", vector: str = "vector") -> DataFrame:
     """Base rows with the list of the largest inner product. Write it with ``write_index``."""
-    return join_on(base, _probe(base, lists, 1, base_id, vector).drop("probe_rank"), [base_id])
+    return with_nearest_lists(base, lists, 1, row_id=base_id, vector=vector).drop("probe_rank")
 
 
 def write_index(assigned: DataFrame, path: str) -> None:
@@ -218,15 +324,16 @@ def list_search(
     query_id: str = "query_id",
     base_id: str = "base_id",
     vector: str = "vector",
-    block_rows: int = 20_000,
+    **kw,
 ) -> DataFrame:
     """Top-k per query over its ``n_probe`` nearest lists, with the probe rank each hit came from.
 
     ``cluster`` restricts hits to base rows of the query's cluster.
     """
-    probed = _probe(queries, lists, n_probe, query_id, vector)
     extra = [cluster] if cluster else []
-    spread = join_on(queries.select(query_id, vector, *extra), probed, [query_id])
+    spread = with_nearest_lists(
+        queries.select(query_id, vector, *extra), lists, n_probe, row_id=query_id, vector=vector
+    )
     hits = block_top_k(
         spread,
         assigned,
@@ -235,9 +342,9 @@ def list_search(
         query_id=query_id,
         base_id=base_id,
         vector=vector,
-        block_rows=block_rows,
+        **kw,
     )
-    placed = join_on(hits.drop("rank"), probed, [query_id, "list_id"])
+    placed = join_on(hits.drop("rank"), spread.select(query_id, "list_id", "probe_rank"), [query_id, "list_id"])
     w = Window.partitionBy(query_id).orderBy(F.col("score").desc(), base_id)
     return placed.withColumn("rank", F.row_number().over(w))
 

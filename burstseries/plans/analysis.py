@@ -949,8 +949,9 @@ def member_lists(spark, sf):
     from burstseries.sources.files import scan_member_lists
 
     path = fresh_path(spark, "members")
-    ev = src.table(spark, sf, "events", "event_type", "user_id")
-    lists = ev.groupBy("event_type", "user_id").agg(
+    ev = src.table(spark, sf, "events", "event_type", "user_id", "event_id")
+    # a list holds at most a thousand ids, however often one of them occurs
+    lists = ev.groupBy("event_type", F.floor(F.col("event_id") / 1000)).agg(
         F.to_json(F.collect_list(F.struct(F.col("user_id").cast("string").alias("user_id")))).alias("value")
     )
     lists.select("value", "event_type").write.partitionBy("event_type").text(path)

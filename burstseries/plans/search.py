@@ -82,9 +82,9 @@ def knn_exact_topk(spark, sf):
     f"WITH {KNN} SELECT query_id, base_id, round(score, 8) + 0.0 AS score, CAST(rank AS INTEGER) AS rank FROM knn WHERE rank <= 3",
 )
 def knn_exact_blocks(spark, sf):
-    """The same search cut into many cells, as a large group would be."""
+    """The same search in block cells, as for a query side too large to broadcast."""
     queries, base = _sides(spark, sf)
-    return rounded(R.exact_search(queries, base, 3, block_rows=100), 8)
+    return rounded(R.exact_search(queries, base, 3, block_rows=100, broadcast_bytes=0), 8)
 
 
 CLUSTER_KNN = MANIFEST + """,
