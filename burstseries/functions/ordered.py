@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = "__chunk"
+KEY = "__key"
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -26,8 +27,20 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def with_chunk(df: DataFrame, order: str, width: int) -> DataFrame:
-    return df.withColumn(CHUNK, F.floor(F.col(order) / F.lit(width)).cast("long"))
+def packed_key(keys: Sequence[str]) -> Column:
+    """The keys as one struct: never null itself and equal also where fields are null.
+
+    Grouping, windows and plain equi-joins on it share one partitioning. A null-safe comparison of
+    the single keys would make Spark shuffle the large side once more for the join.
+    """
+    return F.struct(*[F.col(k).alias(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
+
+
+def with_chunk(df: DataFrame, keys: Sequence[str], chunk: Column) -> DataFrame:
+    """Pack the keys and add the chunk number; rows without an order value share a chunk of their own."""
+    return df.withColumns(
+        {KEY: packed_key(keys), CHUNK: F.coalesce(chunk.cast("long"), F.lit(-(2**62)).cast("long"))}
+    )
 
 
 def chunked_scan(
@@ -46,12 +59,11 @@ def chunked_scan(
     ``width`` wide, or given by ``chunk``, any expression that does not fall as ``order`` grows.
     """
     lags, sums = dict(lags or {}), dict(sums or {})
-    keys = list(keys)
-    df = with_chunk(df, order, width) if chunk is None else df.withColumn(CHUNK, chunk)
-    part = [*keys, CHUNK]
+    df = with_chunk(df, keys, F.floor(F.col(order) / F.lit(width)) if chunk is None else chunk)
+    part = [KEY, CHUNK]
     local = Window.partitionBy(*part).orderBy(order)
     running = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    per_key = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(CHUNK)
+    per_key = Window.partitionBy(KEY).orderBy(CHUNK)
     before = per_key.rowsBetween(Window.unboundedPreceding, -1)
 
     edges = df.groupBy(*part).agg(
@@ -70,7 +82,7 @@ def chunked_scan(
             "__first": F.row_number().over(local) == 1,
         }
     )
-    joined = join_on(scanned, edges, part)
+    joined = scanned.join(edges, part)
     outs: dict[str, Column] = {}
     for o in lags:
         outs[o] = F.when(F.col("__first"), F.col(f"__p_{o}")).otherwise(F.col(f"__l_{o}"))
@@ -78,7 +90,7 @@ def chunked_scan(
         zero = F.lit(0).cast(df.schema[c].dataType)
         outs[o] = F.coalesce(F.col(f"__p_{o}"), zero) + F.col(f"__l_{o}")
     temp = [f"__{t}_{o}" for t in "lp" for o in (*lags, *sums)]
-    return joined.withColumns(outs).drop(CHUNK, "__first", *temp)
+    return joined.withColumns(outs).drop(KEY, CHUNK, "__first", *temp)
 
 
 def gap_groups(df: DataFrame, keys: Sequence[str], order: str, *, gap: int, width: int, out: str) -> DataFrame:
@@ -87,12 +99,11 @@ def gap_groups(df: DataFrame, keys: Sequence[str], order: str, *, gap: int, widt
     One row per (keys, order) is expected. Breaks inside a chunk and breaks between chunks are
     counted apart, so one join gives the run number.
     """
-    keys = list(keys)
-    part = [*keys, CHUNK]
-    df = with_chunk(df, order, width)
+    part = [KEY, CHUNK]
+    df = with_chunk(df, keys, F.floor(F.col(order) / F.lit(width)))
     local = Window.partitionBy(*part).orderBy(order)
     running = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    per_key = Window.partitionBy(*keys).orderBy(CHUNK)
+    per_key = Window.partitionBy(KEY).orderBy(CHUNK)
 
     step = F.col(order) - F.lag(order).over(local)
     marked = df.withColumn("__inner", F.coalesce((step > F.lit(gap)).cast("long"), F.lit(0).cast("long")))
@@ -109,9 +120,9 @@ def gap_groups(df: DataFrame, keys: Sequence[str], order: str, *, gap: int, widt
     )
     scanned = marked.withColumn("__local", F.sum("__inner").over(running))
     return (
-        join_on(scanned, edges, part)
+        scanned.join(edges, part)
         .withColumn(out, F.col("__base") + F.col("__local"))
-        .drop(CHUNK, "__inner", "__local", "__base")
+        .drop(KEY, CHUNK, "__inner", "__local", "__base")
     )
 
 
@@ -127,7 +138,8 @@ def global_row_number(df: DataFrame, hex_col: str, ties: Sequence[str], out: str
     counts = counts.select(CHUNK, F.coalesce(F.sum("__n").over(before), F.lit(0).cast("long")).alias("__base"))
     local = Window.partitionBy(CHUNK).orderBy(hex_col, *ties)
     return (
-        join_on(ranged.withColumn("__local", F.row_number().over(local)), counts, [CHUNK])
+        ranged.withColumn("__local", F.row_number().over(local))
+        .join(counts, CHUNK)
         .withColumn(out, F.col("__base") + F.col("__local"))
         .drop(CHUNK, "__base", "__local")
     )

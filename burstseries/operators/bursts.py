@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burstseries.functions.arrays import head, item_rows, let
-from burstseries.functions.ordered import chunked_scan, join_on
+from burstseries.functions.ordered import KEY, chunked_scan, packed_key
 
 # Fixed pattern: the summary line of a ping run; the second figure is the mean.
 RTT_MEAN = r"rtt\s+min/avg/max/mdev\s*=\s*[^/]+/([^/]+)/[^/]+/[^\s]+\s*ms"
@@ -90,8 +90,9 @@ def burst_rows(
     """
     active = bins.filter(F.col(value) >= threshold).select(*keys, "bin", F.col(value).alias("bi"))
     if min_bursts > 1:
-        counts = active.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= min_bursts)
-        active = join_on(active, counts, keys).drop("__n")
+        counts = active.groupBy(packed_key(keys).alias(KEY)).agg(F.count(F.lit(1)).alias("__n"))
+        enough = counts.filter(F.col("__n") >= min_bursts).select(KEY)
+        active = active.withColumn(KEY, packed_key(keys)).join(enough, KEY, "left_semi").drop(KEY)
     active = active.withColumn("__one", F.lit(1).cast("long"))
     scanned = chunked_scan(active, keys, "bin", width=chunk_bins, lags={"__prev": "bin"}, sums={"__pos": "__one"})
     gap = F.coalesce(F.col("bin") - F.col("__prev"), F.lit(0).cast("long")) * unit

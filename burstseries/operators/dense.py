@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burstseries.functions.arrays import head, let
-from burstseries.functions.ordered import join_on
+from burstseries.functions.ordered import KEY, join_on, packed_key
 
 
 def span_bounds(bins: DataFrame, keys: Sequence[str], max_len: int | None, bin_col: str = "bin") -> DataFrame:
@@ -50,9 +50,11 @@ def dense_series(
     """
     if truncate not in ("span", "kept"):
         raise ValueError("truncate is 'span' or 'kept'")
-    bounds = span_bounds(bins, keys, max_len, bin_col)
-    rows = bins.filter(F.col(bin_col).isNotNull()).select(*keys, F.col(bin_col).alias("__b"), *values.values())
-    near = join_on(rows, bounds, keys).filter(F.col("__b") <= F.col("last_bin"))
+    known = bins.filter(F.col(bin_col).isNotNull()).withColumn(KEY, packed_key(keys))
+    bounds = span_bounds(known, [KEY], max_len, bin_col)
+    rows = known.select(KEY, F.col(bin_col).alias("__b"), *values.values())
+    # the join and the gathering below share one partitioning by key
+    near = rows.join(bounds, KEY).filter(F.col("__b") <= F.col("last_bin"))
     cell = F.struct(
         (F.col("__b") - F.col("first_bin")).alias("at"),
         *[
@@ -60,7 +62,7 @@ def dense_series(
             for out, src in values.items()
         ],
     )
-    cells = near.groupBy(*keys).agg(
+    cells = near.groupBy(KEY).agg(
         F.array_sort(F.collect_list(cell)).alias("__cells"),
         F.min("first_bin").alias("first_bin"),
         F.min("last_bin").alias("__last"),
@@ -85,7 +87,9 @@ def dense_series(
 
         return let(F.col("__cells"), whole)
 
-    out = cells.select(*keys, "first_bin", *[spread(o).alias(o) for o in values], *kept)
+    out = cells.select(
+        *[F.col(f"{KEY}.{k}").alias(k) for k in keys], "first_bin", *[spread(o).alias(o) for o in values], *kept
+    )
     if truncate == "kept":
         out = out.withColumns({o: head(o, F.col(f"__k_{o}")) for o in values})
     return out.drop(*kept)
