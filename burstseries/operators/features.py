@@ -72,9 +72,8 @@ def minimal_features(series: DataFrame, keys: Sequence[str], column: str) -> Dat
     )
     n = F.col("__n")
     two = one.withColumn("__mean", _share(F.col("__sum"), n))
-    three = two.withColumn(
-        "__var", _share(F.aggregate(s, F.lit(0.0), lambda a, x: a + (x - F.col("__mean")) * (x - F.col("__mean"))), n)
-    )
+    squares = let(F.col("__mean"), lambda m: F.aggregate(s, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)))
+    three = two.withColumn("__var", _share(squares, n))
     out = {
         "sum_values": F.col("__sum"),
         "median": _quantile(F.col("__sorted"), n, 0.5),
@@ -122,7 +121,7 @@ def extended_features(
     diff = F.col("__diff")
     two = one.withColumn("__mean", _share(sum_, n))
     mean = F.col("__mean")
-    three = two.withColumn("__dev", F.transform(s, lambda x: x - mean))
+    three = two.withColumn("__dev", let(mean, lambda m: F.transform(s, lambda x: x - m)))
     dev = F.col("__dev")
     four = three.withColumns(
         {
@@ -144,16 +143,16 @@ def extended_features(
         "mean_change": _share(F.get(s, F.size(s) - 1) - F.get(s, F.lit(0)), span),
         "cid_ce__normalize_False": F.sqrt(_sum(diff, lambda d: d * d)),
         "cid_ce__normalize_True": F.coalesce(_share(F.sqrt(_sum(diff, lambda d: d * d)), sd), F.lit(0.0)),
-        "count_above_mean": F.size(F.filter(s, lambda x: x > mean)).cast("double"),
-        "count_below_mean": F.size(F.filter(s, lambda x: x < mean)).cast("double"),
-        "longest_strike_above_mean": _longest_run(F.transform(s, lambda x: x > mean)).cast("double"),
-        "longest_strike_below_mean": _longest_run(F.transform(s, lambda x: x < mean)).cast("double"),
+        "count_above_mean": _count(dev, lambda d: d > 0),
+        "count_below_mean": _count(dev, lambda d: d < 0),
+        "longest_strike_above_mean": _longest_run(F.transform(dev, lambda d: d > 0)).cast("double"),
+        "longest_strike_below_mean": _longest_run(F.transform(dev, lambda d: d < 0)).cast("double"),
         "first_location_of_maximum": _share((F.array_position(s, hi) - 1).cast("double"), n),
         "first_location_of_minimum": _share((F.array_position(s, lo) - 1).cast("double"), n),
         "last_location_of_maximum": 1.0 - _share((F.array_position(F.reverse(s), hi) - 1).cast("double"), n),
         "last_location_of_minimum": 1.0 - _share((F.array_position(F.reverse(s), lo) - 1).cast("double"), n),
-        "has_duplicate_max": (F.size(F.filter(s, lambda x: x == hi)) >= 2).cast("double"),
-        "has_duplicate_min": (F.size(F.filter(s, lambda x: x == lo)) >= 2).cast("double"),
+        "has_duplicate_max": let(hi, lambda v: (F.size(F.filter(s, lambda x: x == v)) >= 2).cast("double")),
+        "has_duplicate_min": let(lo, lambda v: (F.size(F.filter(s, lambda x: x == v)) >= 2).cast("double")),
         "variance_larger_than_standard_deviation": (var > sd).cast("double"),
         "variation_coefficient": _share(sd, mean),
         "value_count__value_0": F.size(F.filter(s, lambda x: x == 0)).cast("double"),
@@ -190,9 +189,7 @@ def extended_features(
         )
     for r in sigmas:
         name = f"{r:g}".replace(".", "_")
-        out[f"ratio_beyond_r_sigma__r_{name}"] = _share(
-            F.size(F.filter(dev, _beyond(r, sd))).cast("double"), n
-        )
+        out[f"ratio_beyond_r_sigma__r_{name}"] = _share(let(F.lit(float(r)) * sd, _beyond(dev)), n)
     for q in quantiles:
         out[f"quantile__q_{f'{q:g}'.replace('.', '_')}"] = _quantile(srt, n, q)
     for k in peak_support:
@@ -205,16 +202,17 @@ def extended_features(
     # straight line through (0, x0), (1, x1), ...
     xbar = (n - 1) / 2.0
     sxx = n * (n * n - 1) / 12.0
-    sxy = F.aggregate(
-        F.transform(dev, lambda d, i: d * (i - xbar)), F.lit(0.0), lambda a, v: a + v
-    )
+    sxy = let(xbar, lambda m: _sum(F.transform(dev, lambda d, i: d * (i - m))))
     out["linear_trend__attr_slope"] = _share(sxy, sxx)
     out["linear_trend__attr_intercept"] = mean - _share(sxy, sxx) * xbar
     out["linear_trend__attr_rvalue"] = sxy / F.nullif(F.sqrt(sxx * m2), F.lit(0.0))
     width = (hi - lo) / float(entropy_bins)
-    cell = F.transform(
-        s,
-        lambda x: F.least(F.floor((x - lo) / F.nullif(width, F.lit(0.0))), F.lit(entropy_bins - 1)).cast("int"),
+    frame = F.struct(lo.alias("lo"), F.nullif(width, F.lit(0.0)).alias("width"))
+    cell = let(
+        frame,
+        lambda f: F.transform(
+            s, lambda x: F.least(F.floor((x - f["lo"]) / f["width"]), F.lit(entropy_bins - 1)).cast("int")
+        ),
     )
 
     def entropy(cells: Column) -> Column:
@@ -226,8 +224,12 @@ def extended_features(
     return five.select(*keys, *[c.alias(PREFIX + k) for k, c in out.items()])
 
 
-def _beyond(r: float, sd: Column):
-    return lambda d: F.abs(d) > F.lit(float(r)) * sd
+def _count(arr: Column, test) -> Column:
+    return F.size(F.filter(arr, test)).cast("double")
+
+
+def _beyond(dev: Column):
+    return lambda bound: _count(dev, lambda d: F.abs(d) > bound)
 
 
 def _is_peak(s: Column, support: int):
