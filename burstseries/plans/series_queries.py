@@ -499,6 +499,20 @@ def quantile_edges(spark, sf):
     return spark.createDataFrame(rows, "stream string, i int, edge double")
 
 
+@query(
+    "quantile_edges_prices",
+    """WITH o AS (SELECT l_extendedprice AS v, row_number() OVER (ORDER BY l_extendedprice) - 1 AS k, count(*) OVER () AS n FROM lineitem),
+    c AS (SELECT o.v FROM o JOIN (SELECT unnest(range(1, 16)) AS i) r ON o.k = floor(r.i * 6.25::DOUBLE / 100 * (o.n - 1)) UNION ALL SELECT max(v) FROM o),
+    f AS (SELECT list(v ORDER BY v) AS e FROM c),
+    w AS (SELECT unnest(list_concat(e, [(e[1] + e[2]) / 2])) AS edge FROM f)
+    SELECT CAST(row_number() OVER (ORDER BY edge) - 1 AS BIGINT) AS i, edge FROM w""",
+)
+def quantile_edges_prices(spark, sf):
+    """Edges of a column with hardly any repeats: fifteen cuts, the maximum and one midpoint."""
+    edges = Q.quantile_edges(src.table(spark, sf, "lineitem", "l_extendedprice"), "l_extendedprice", 16)
+    return spark.createDataFrame(list(enumerate(float(e) for e in edges)), "i long, edge double")
+
+
 @query(
     "token_boundary_frame",
     f"""WITH {src.BURSTS} SELECT 'first' AS edge, round(min(bi) * 0.8::DOUBLE, 6) AS value FROM bursts
