@@ -32,12 +32,16 @@ def build_session(app: str = "burstseries", master: str | None = None, **conf: s
 def scratch_dir(spark: SparkSession) -> str:
     """The folder every executor can read, as named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, a laptop) a temporary folder is made.
+    Only a session on a local master may leave it unset (tests, a laptop): there a temporary folder
+    is made. On a cluster that would be a folder of one machine, so it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
         named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder all executors share (master {master})")
         named = tempfile.mkdtemp(prefix="burstseries-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -56,4 +60,18 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.mode("overwrite").parquet(path)
+    _WRITTEN.setdefault(id(spark._jsparkSession), []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_WRITTEN: dict[int, list[str]] = {}
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete what ``cut_lineage`` wrote for this session; results that still read it must be done."""
+    paths = _WRITTEN.pop(id(spark._jsparkSession), [])
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    return len(paths)
