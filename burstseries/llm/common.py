@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burstseries.session import cut_lineage
+from burstseries.session import fresh_path
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,17 +25,33 @@ PIECE = 2 << 20
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back; the shuffle files of its job go at once."""
-    conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, None)
-    conf.set(CLEANUP, "true")
+    """``df`` written to the shared folder and read back; the shuffle files of its job go at once.
+
+    Read again after an executor is lost, it costs no recomputation. ``discard`` deletes it once nothing
+    reads it any more.
+    """
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    path = fresh_path(spark, name)
     try:
-        return cut_lineage(df, name)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         if before is None:
-            conf.unset(CLEANUP)
+            spark.conf.unset(CLEANUP)
         else:
-            conf.set(CLEANUP, before)
+            spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``stored`` wrote; only for tables that no pending result reads."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def word_count(text: Column | str) -> Column:

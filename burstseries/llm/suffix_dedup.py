@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burstseries.llm.common import mix, powers, prefix_sums, signed, sliding_min, stored, text_pieces
+from burstseries.llm.common import discard, mix, powers, prefix_sums, range_hashes, signed, sliding_min, stored, text_pieces
 from burstseries.llm.registry import query, table
 
 LENGTH = 50
@@ -120,29 +120,49 @@ def _shared(t: pa.Table) -> pa.Table:
     return pa.table({"print": pa.array(p[new]), "place": pa.array(at[new])})
 
 
+def _kept_runs(batch: pa.RecordBatch):
+    """Per piece, the runs of windows at the anchors that are left: (piece, row, start, windows, name, print)."""
+    spots = batch.column("places")
+    flat, offs = spots.values.to_numpy(), spots.offsets.to_numpy()
+    for piece in text_pieces(batch, limit=SLICE):
+        row, start, windows, at, h = window_runs(piece)
+        left = np.zeros(len(piece.data) + 1, dtype=bool)
+        mine = np.repeat(np.arange(piece.rows), np.diff(offs[piece.lo : piece.hi + 1]))
+        left[flat[offs[piece.lo] : offs[piece.hi]] + piece.offs[mine]] = True
+        keep = left[at + piece.offs[row]]
+        row, start, windows, h = row[keep], start[keep], windows[keep], h[keep]
+        begin = piece.offs[row] + start
+        yield piece, row, start, windows, h, range_hashes(prefix_sums(piece.data), begin, begin + windows + LENGTH - 1)
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of windows at the anchors that are left, with their bytes."""
     for batch in batches:
-        spots = batch.column("places")
-        flat, offs = spots.values.to_numpy(), spots.offsets.to_numpy()
+        for piece, row, start, windows, name, whole in _kept_runs(batch):
+            doc = piece.numbers("doc_id")[row].astype(np.int64) if len(row) else row
+            cols = [signed(name), signed(whole), doc, start.astype(np.int32), windows.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["name", "print", "doc_id", "start", "windows"])
+
+
+def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of the runs asked for (arrays starts, windows, buckets of a row)."""
+    for batch in batches:
+        offs = batch.column("runs").offsets.to_numpy()
+        item = batch.column("runs").values
+        starts, windows, buckets = (item.field(c).to_numpy() for c in ("start", "windows", "bucket"))
         for piece in text_pieces(batch, limit=SLICE):
-            row, start, windows, at, h = window_runs(piece)
-            left = np.zeros(len(piece.data) + 1, dtype=bool)
             lo, hi = offs[piece.lo], offs[piece.hi]
-            mine = np.repeat(np.arange(piece.rows), np.diff(offs[piece.lo : piece.hi + 1]))
-            left[flat[lo:hi] + piece.offs[mine]] = True
-            keep = left[at + piece.offs[row]]
-            row, start, windows, h = row[keep], start[keep], windows[keep], h[keep]
-            size = windows + LENGTH - 1
-            begin = piece.offs[row] + start
+            row = np.repeat(np.arange(piece.rows), np.diff(offs[piece.lo : piece.hi + 1]))
+            size = windows[lo:hi].astype(np.int64) + LENGTH - 1
             cut = np.zeros(len(row) + 1, dtype=np.int64)
             np.cumsum(size, out=cut[1:])
+            begin = piece.offs[row] + starts[lo:hi]
             text = piece.data[np.repeat(begin - cut[:-1], size) + np.arange(cut[-1])]
             blob = pa.Array.from_buffers(
                 pa.binary(), len(row), [None, pa.py_buffer(cut.astype(np.int32).tobytes()), pa.py_buffer(text.tobytes())]
             )
-            cols = [signed(h), piece.numbers("doc_id")[row].astype(np.int64) if len(row) else row, start.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in cols], blob], ["name", "doc_id", "start", "bytes"])
+            doc = piece.numbers("doc_id")[row].astype(np.int64) if len(row) else row
+            cols = [pa.array(buckets[lo:hi]), pa.array(doc), pa.array(starts[lo:hi]), blob]
+            yield pa.RecordBatch.from_arrays(cols, ["bucket", "doc_id", "start", "bytes"])
 
 
 def _rank(x: np.ndarray) -> np.ndarray:
@@ -210,22 +230,37 @@ def repeated_spans(docs: DataFrame, prints: DataFrame) -> tuple[DataFrame, DataF
     texts = docs.join(left, docs["doc_id"] == left["__id"]).select("doc_id", "text", "places")
     texts = stored(texts.dropDuplicates(["doc_id"]) if _repeats(prints) else texts, "suffix-texts")
 
-    runs = texts.mapInArrow(_runs, "name long, doc_id long, start int, bytes binary")
-    runs = stored(runs.withColumn("print", F.xxhash64("bytes")), "suffix-runs")
-    same = runs.groupBy("name", "print").agg(F.min("doc_id").alias("lead"))
-    same = stored(same, "suffix-same")
-    runs = stored(runs.join(same, ["name", "print"]), "suffix-led")
-    whole = runs.filter("doc_id > lead").select("doc_id", F.col("start").alias("lo"), (F.col("start") + F.octet_length("bytes")).alias("hi"))
-    rest = runs.filter("doc_id = lead").select("name", "doc_id", "start", "bytes")
+    discard(left)
+
+    # runs by name and hash only: their bytes travel later, where they are needed
+    runs = texts.mapInArrow(_runs, "name long, print long, doc_id long, start int, windows int")
+    same = runs.groupBy("name", "print").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last"))
+    same = stored(same.filter("lead < last").select("name", "print", "lead"), "suffix-same")
+    led = runs.join(same, ["name", "print"], "left").select(
+        "name", "doc_id", "start", "windows", (F.col("doc_id") > F.col("lead")).alias("copy")
+    )
+    led = stored(led.withColumn("copy", F.coalesce("copy", F.lit(False))), "suffix-runs")
+    discard(same)
+    end = F.col("start") + F.col("windows") + (LENGTH - 1)
+    whole = stored(led.filter("copy").select("doc_id", F.col("start").alias("lo"), end.alias("hi")), "suffix-copies")
+    rest = led.filter("not copy").drop("copy")
     names = rest.groupBy("name").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
     names = stored(names.filter("a < b").select("name", "n"), "suffix-names")
-    n_runs = names.agg(F.sum("n"), F.max("n")).first()
-    rest = rest.join(names, "name")
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), (n_runs[0] or 0) // RUNS)
-    calm = rest.filter(F.col("n") <= HOT).select(F.pmod(F.xxhash64("name"), F.lit(buckets)).alias("bucket"), "doc_id", "start", "bytes")
-    spans = whole.unionByName(calm.groupBy("bucket").applyInArrow(_repeated, "doc_id long, lo int, hi int"))
-    if (n_runs[1] or 0) > HOT:
-        spans = spans.unionByName(_one_by_one(rest.filter(F.col("n") > HOT)))
+    n_runs, most = names.agg(F.sum("n"), F.max("n")).first()
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), (n_runs or 0) // RUNS)
+    # bucket -1: names so common that their windows are ranked one by one
+    bucket = F.when(F.col("n") > HOT, F.lit(-1)).otherwise(F.pmod(F.xxhash64("name"), F.lit(buckets)).cast("int"))
+    asked = rest.join(names, "name").select("doc_id", F.struct("start", "windows", bucket.alias("bucket")).alias("run"))
+    asked = asked.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("run").alias("runs"))
+    asked = stored(asked, "suffix-asked")
+    discard(led, names)
+    moved = texts.join(asked, texts["doc_id"] == asked["__id"]).select("doc_id", "text", "runs")
+    moved = moved.mapInArrow(_bytes, "bucket int, doc_id long, start int, bytes binary")
+    found = moved.filter("bucket >= 0").groupBy("bucket").applyInArrow(_repeated, "doc_id long, lo int, hi int")
+    spans = whole.unionByName(stored(found, "suffix-found"))
+    if (most or 0) > HOT:
+        spans = spans.unionByName(stored(_one_by_one(moved.filter("bucket < 0")), "suffix-found-hot"))
+    discard(asked)
     return spans, texts
 
 
