@@ -229,14 +229,17 @@ def rebuild_bins(bursts: DataFrame, keys: Sequence[str], unit: int = 1) -> DataF
     return scanned.select(*keys, "pos", (F.col("first_bin") + F.col("__t")).alias("bin"))
 
 
-def segment_length(gap: Column, cap: int = 10_000) -> Column:
-    """Timeline slots of one burst: its gap cut to a whole number in [1, cap]; NaN and infinities give 1."""
+def segment_length(gap: Column, cap: int | None = None) -> Column:
+    """Timeline slots of one burst: its gap as a whole number from 1 on, at most ``cap`` if given; NaN and
+    infinities give 1."""
     g = gap.cast("double")
     usable = ~F.isnan(g) & (F.abs(g) != float("inf"))
-    return F.when(usable, F.least(F.greatest(F.floor(g), F.lit(1)), F.lit(cap))).otherwise(F.lit(1)).cast("int")
+    slots = F.greatest(F.floor(g), F.lit(1))
+    slots = slots if cap is None else F.least(slots, F.lit(cap))
+    return F.when(usable, slots).otherwise(F.lit(1)).cast("int")
 
 
-def expand_timeline(ibg: Column, bi: Column, cap: int = 10_000) -> Column:
+def expand_timeline(ibg: Column, bi: Column, cap: int | None = None) -> Column:
     """Per burst (gap - 1) zeros, then its value, over the common length of both arrays."""
     zero = F.lit(0.0)
 
@@ -252,7 +255,7 @@ def expand_timeline(ibg: Column, bi: Column, cap: int = 10_000) -> Column:
     return let(F.struct(ibg.alias("g"), bi.alias("v")), spread)
 
 
-def bursts_covering(ibg: Column, prefix: Column, cap: int = 10_000) -> Column:
+def bursts_covering(ibg: Column, prefix: Column, cap: int | None = None) -> Column:
     """Smallest number of leading bursts whose segments reach ``prefix`` slots, or all of them."""
     start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0).alias("k"), prefix.cast("long").alias("want"))
     walked = F.aggregate(

@@ -35,18 +35,18 @@ def dense_series(
     values: Mapping[str, str],
     *,
     threshold: float,
-    max_len: int,
     min_len: int,
+    max_len: int | None = None,
     truncate: str = "span",
     item_type: str = "float",
     bin_col: str = "bin",
 ) -> DataFrame:
     """One dense array per direction, from one row per (key, bin).
 
-    Bins from the first observed one on, at most ``max_len`` of them; values below ``threshold``
+    Bins from the first observed one on, at most ``max_len`` of them if given; values below ``threshold``
     become 0. A key is kept when some direction has ``min_len`` positive items. ``truncate='span'``
     keeps the whole span, ``'kept'`` cuts each array to its own number of positive items.
-    The span is cut before the rows of a key are gathered, so a group holds ``max_len`` cells at most.
+    A group holds the observed bins of one key; a ``max_len`` cuts the span before they are gathered.
     """
     if truncate not in ("span", "kept"):
         raise ValueError("truncate is 'span' or 'kept'")
@@ -121,9 +121,9 @@ def mean_series_chunks(
     keys: Sequence[str],
     *,
     threshold: float,
-    max_len: int,
     min_len: int,
     seq_len: int,
+    max_len: int | None = None,
     store_bins: bool = False,
 ) -> DataFrame:
     """Dense mean-value arrays cut to whole chunks, each with its first bin and an example id."""

@@ -328,6 +328,13 @@ def coerce_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.col(f"`{c}`").try_cast("double") for c in columns})
 
 
+def present_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """The listed columns that hold at least one number; one aggregate row of counts."""
+    seen = [F.count(F.nanvl(F.col(f"`{c}`").try_cast("double"), F.lit(None).cast("double"))) for c in columns]
+    got = df.agg(*[s.alias(f"n{i}") for i, s in enumerate(seen)]).first() if seen else []
+    return [c for c, n in zip(columns, got, strict=True) if n]
+
+
 def to_long(df: DataFrame, ids: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """``(ids, feature, value)`` rows; NaN becomes null."""
     doubles = df.select(*ids, *[F.col(f"`{c}`").cast("double").alias(c) for c in columns])

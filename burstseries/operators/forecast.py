@@ -100,7 +100,7 @@ def merged_metrics(
     nonzero: float = 0.0,
     scale: float = 1.0,
     prefix: int | None = None,
-    cap: int = 10_000,
+    cap: int | None = None,
 ) -> DataFrame:
     """Errors on the expanded timeline, also with true gaps (``ORACLE_IBG``) or true values (``ORACLE_BI``).
 

@@ -148,7 +148,27 @@ def feature_similarity(
     """Linear similarity of the block ``x_cols`` to each single column of ``y_cols``, one pass.
 
     Also the column's variance, share of zeros and whether it is constant; constant columns score 0.
+    Rows without a complete block are dropped for all, rows without a value only for the column that lacks
+    it. Columns without gaps share one pass; each column with gaps is a group of its own rows in a second
+    pass. A column without any value has no row.
     """
+    usable = complete_rows(df, x_cols)
+    missing = [F.max((F.col(f"`{c}`").isNull() | F.isnan(F.col(f"`{c}`").cast("double"))).cast("int")) for c in y_cols]
+    flags = usable.agg(*[m.alias(f"m{i}") for i, m in enumerate(missing)]).first() if missing else []
+    gaps = [c for c, m in zip(y_cols, flags, strict=True) if m]
+    if not gaps:
+        return _similarity(usable, x_cols, y_cols, group, min_rows)
+    cells = F.array(*[F.struct(F.lit(c).alias("f"), F.col(f"`{c}`").cast("double").alias("v")) for c in gaps])
+    one = usable.select(*group, *[F.col(f"`{c}`") for c in x_cols], F.explode(cells).alias("__c"))
+    one = one.select(*group, *[F.col(f"`{c}`") for c in x_cols], F.col("__c.f").alias("__f"), F.col("__c.v").alias("__y"))
+    got = _similarity(one, x_cols, ["__y"], [*group, "__f"], min_rows)
+    got = got.withColumn("feature", F.col("__f")).drop("__f")
+    solid = [c for c in y_cols if c not in gaps]
+    return _similarity(usable, x_cols, solid, group, min_rows).unionByName(got) if solid else got
+
+
+def _similarity(df: DataFrame, x_cols: Sequence[str], y_cols: Sequence[str], group: Sequence[str], min_rows: int) -> DataFrame:
+    """The scores of columns that all have a value in the same rows."""
     names = list(y_cols)
     both = [*x_cols, *names]
     full = complete_rows(df, both).select(

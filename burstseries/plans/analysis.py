@@ -632,6 +632,51 @@ def cka_per_cluster(spark, sf):
     return rounded(_cka_cluster(_wide(spark, sf)).select("cluster_id", "feature", "cka_to_embedding", "n"), 6)
 
 
+GAP_FEATURES = ["f0", "f1", "f2", "f3", "f4"]
+
+
+def _gaps(spark, sf):
+    """Vectors of 6 dimensions and 5 figures of them: one whole, three with gaps of their own, one empty."""
+    v = src.table(spark, sf, "embeddings", "vec_id", "embedding", "label")
+    x = [F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(src.REPR[:6])]
+    y = [F.get("embedding", F.lit(10 + i)).cast("double") for i in range(5)]
+    figures = [
+        y[0], F.when(F.col("vec_id") % 2 == 0, y[1]), F.when(F.col("vec_id") % 3 != 0, y[2]),
+        F.when(F.col("vec_id") % 5 != 0, y[3]).otherwise(F.lit(float("nan"))), F.lit(None).cast("double"),
+    ]
+    named = [f.alias(n) for f, n in zip(figures, GAP_FEATURES, strict=True)]
+    return v.select(F.col("label").cast("long").alias("cluster_id"), *x, *named)
+
+
+def _gap_sql(group: str) -> str:
+    g = "cluster_id, " if group else ""
+    same = "AND a.cluster_id = b.cluster_id" if group else ""
+    return f"""WITH e AS (SELECT vec_id, CAST(label AS BIGINT) AS cluster_id, embedding AS v FROM embeddings),
+    y AS (SELECT vec_id, cluster_id, 'f' || k AS feature, v[11 + k]::DOUBLE AS y FROM e, range(4) t(k)
+          WHERE k = 0 OR (k = 1 AND vec_id % 2 = 0) OR (k = 2 AND vec_id % 3 <> 0) OR (k = 3 AND vec_id % 5 <> 0)),
+    x AS (SELECT y.vec_id, y.cluster_id, feature, i, v[i]::DOUBLE AS x FROM y JOIN e USING (vec_id), range(1, 7) t(i)
+          UNION ALL SELECT vec_id, cluster_id, feature, 0, y FROM y),
+    c AS (SELECT vec_id, {g}feature, i, x - avg(x) OVER (PARTITION BY {g}feature, i) AS x FROM x),
+    s AS (SELECT {'a.cluster_id, ' if group else ''}a.feature, a.i, b.i AS j, sum(a.x * b.x) AS s, count(*) AS n
+          FROM c a JOIN c b ON a.vec_id = b.vec_id AND a.feature = b.feature {same} GROUP BY ALL)
+    SELECT {g}feature, n, round(sum(s * s) FILTER (WHERE i > 0 AND j = 0)
+      / (sqrt(sum(s * s) FILTER (WHERE i > 0 AND j > 0)) * sum(s) FILTER (WHERE i = 0 AND j = 0)), 6) AS cka_to_embedding
+    FROM s GROUP BY {g}feature, n HAVING n >= 2"""
+
+
+@query("cka_per_feature_gaps", _gap_sql(""))
+def cka_per_feature_gaps(spark, sf):
+    """Columns with missing values lose their own rows only; an empty column has no row."""
+    got = G.feature_similarity(_gaps(spark, sf), src.REPR[:6], GAP_FEATURES)
+    return rounded(got.select("feature", "n", "cka_to_embedding"), 6)
+
+
+@query("cka_per_cluster_gaps", _gap_sql("cluster_id"))
+def cka_per_cluster_gaps(spark, sf):
+    got = G.feature_similarity(_gaps(spark, sf), src.REPR[:6], GAP_FEATURES, ["cluster_id"], min_rows=2)
+    return rounded(got.select("cluster_id", "feature", "n", "cka_to_embedding"), 6)
+
+
 def _block_sql(group: str) -> str:
     g = f"{group}, " if group else ""
     a = f"a.{group}, " if group else ""

@@ -126,7 +126,6 @@ hourly AS (
   FROM ev GROUP BY ALL)"""
 
 THRESHOLD = 1000
-SERIES_LEN = 600
 
 
 def series(spark: SparkSession, sf_dir: str, truncate: str = "span", item_type: str = "double") -> DataFrame:
@@ -135,7 +134,6 @@ def series(spark: SparkSession, sf_dir: str, truncate: str = "span", item_type:
         ["user_id"],
         {"inbound": "inbound", "outbound": "outbound"},
         threshold=THRESHOLD,
-        max_len=SERIES_LEN,
         min_len=5,
         truncate=truncate,
         item_type=item_type,
@@ -144,7 +142,7 @@ def series(spark: SparkSession, sf_dir: str, truncate: str = "span", item_type:
 
 SERIES = HOURLY + """,
 span AS (
-  SELECT user_id, min(bin) AS first_bin, least(max(bin), min(bin) + 599) AS last_bin FROM hourly GROUP BY ALL),
+  SELECT user_id, min(bin) AS first_bin, max(bin) AS last_bin FROM hourly GROUP BY ALL),
 slots AS (SELECT user_id, first_bin, unnest(range(first_bin, last_bin + 1)) AS b FROM span),
 cells AS (
   SELECT s.user_id, s.first_bin, s.b - s.first_bin AS i,
@@ -157,12 +155,10 @@ kept AS (
 series AS (
   SELECT c.*, k.k_in, k.k_out FROM cells c JOIN kept k USING (user_id) WHERE greatest(k.k_in, k.k_out) >= 5)"""
 
-BURST_LEN = 40
-
 
 def bursts(spark: SparkSession, sf_dir: str, keep_bins: bool = False) -> DataFrame:
     return bursts_from_series(
-        series(spark, sf_dir), ["user_id"], threshold=THRESHOLD, min_len=5, max_len=BURST_LEN, keep_bins=keep_bins
+        series(spark, sf_dir), ["user_id"], threshold=THRESHOLD, min_len=5, keep_bins=keep_bins
     )
 
 
@@ -172,7 +168,7 @@ active AS (
          row_number() OVER w - 1 AS pos, coalesce(i - lag(i) OVER w, 0) AS ibg,
          count(*) OVER (PARTITION BY user_id) AS n_active
   FROM series WHERE vin >= 1000 WINDOW w AS (PARTITION BY user_id ORDER BY i)),
-bursts AS (SELECT user_id, pos, bin, bi, ibg FROM active WHERE n_active >= 5 AND pos < 40)"""
+bursts AS (SELECT user_id, pos, bin, bi, ibg FROM active WHERE n_active >= 5)"""
 
 
 def splits(spark: SparkSession, sf_dir: str) -> DataFrame:

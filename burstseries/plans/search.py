@@ -235,7 +235,7 @@ def daily_series(spark, sf):
         F.sum("cents").alias("v")
     )
     return dense_series(
-        bins, ["user_id"], {"series": "v"}, threshold=1000, max_len=9000, min_len=1, item_type="double"
+        bins, ["user_id"], {"series": "v"}, threshold=1000, min_len=1, item_type="double"
     )
 
 
@@ -462,7 +462,7 @@ def forecast_report_full(spark, sf):
     """All report figures for the resampling predictor."""
     cases = P.predict_resampled(_cases(spark, sf), ["user_id"])
     stored = cut_lineage(cases, "forecasts")
-    per = P.burst_metrics(stored, ["user_id"]).join(P.merged_metrics(stored, ["user_id"], prefix=500), "user_id")
+    per = P.burst_metrics(stored, ["user_id"]).join(P.merged_metrics(stored, ["user_id"]), "user_id")
     return P.metric_report(per)
 
 
@@ -512,7 +512,7 @@ def embed_series(spark, sf):
         rows = np.stack([np.asarray(x, dtype=float) for x in frame["s"]])
         return np.abs(np.fft.rfft(rows, axis=1))[:, :8]
 
-    s = src.series(spark, sf).select("user_id", X.fixed_length(F.col("inbound"), 600).alias("s"))
+    s = src.series(spark, sf).select("user_id", X.fixed_length(F.col("inbound"), 744).alias("s"))
     return rounded(P.embed_batches(s, ["user_id"], spectrum, 8), 4)
 
 

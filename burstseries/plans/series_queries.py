@@ -46,7 +46,7 @@ def dense_series_kept(spark, sf):
     "dense_one_direction",
     f"""WITH {src.EVENTS},
     h AS (SELECT event_type, second // 21600 AS bin, CAST(sum(cents) AS BIGINT) AS v FROM ev GROUP BY ALL),
-    s AS (SELECT event_type, min(bin) AS b0, unnest(range(min(bin), least(max(bin), min(bin) + 99) + 1)) AS b FROM h GROUP BY event_type)
+    s AS (SELECT event_type, min(bin) AS b0, unnest(range(min(bin), max(bin) + 1)) AS b FROM h GROUP BY event_type)
     SELECT s.event_type, s.b - s.b0 AS i, CASE WHEN h.v >= 1000 THEN h.v ELSE 0 END::DOUBLE AS inbound, 0.0::DOUBLE AS outbound
     FROM s LEFT JOIN h ON h.event_type = s.event_type AND h.bin = s.b""",
 )
@@ -56,7 +56,7 @@ def dense_one_direction(spark, sf):
         F.sum("cents").alias("v")
     )
     whole = D.dense_series(
-        bins, ["event_type"], {"inbound": "v"}, threshold=1000, max_len=100, min_len=1, item_type="double"
+        bins, ["event_type"], {"inbound": "v"}, threshold=1000, min_len=1, item_type="double"
     )
     both = D.one_direction(whole)
     zipped = F.arrays_zip("inbound", "outbound")
@@ -70,7 +70,7 @@ PING_BINS = PINGS + """,
 pb AS (SELECT label, second // 10800 AS bin, avg(latency_ms) AS m FROM pings GROUP BY ALL)"""
 
 PING_DENSE = PING_BINS + """,
-ps AS (SELECT label, min(bin) AS b0, unnest(range(min(bin), least(max(bin), min(bin) + 199) + 1)) AS b FROM pb GROUP BY label),
+ps AS (SELECT label, min(bin) AS b0, unnest(range(min(bin), max(bin) + 1)) AS b FROM pb GROUP BY label),
 pd AS (
   SELECT s.label, s.b AS bin, s.b - s.b0 AS i,
          CASE WHEN p.m >= 20 THEN CAST(p.m AS FLOAT) ELSE CAST(0 AS FLOAT) END AS v,
@@ -84,7 +84,7 @@ pe AS (
 def _ping_chunks(spark, sf, store_bins=True):
     means = D.mean_bins(ping_samples(spark, sf), ["label"], "second", "latency_ms", 10_800)
     return D.mean_series_chunks(
-        means, ["label"], threshold=20.0, max_len=200, min_len=5, seq_len=50, store_bins=store_bins
+        means, ["label"], threshold=20.0, min_len=5, seq_len=50, store_bins=store_bins
     )
 
 
@@ -160,7 +160,7 @@ def bursts_by_entity(spark, sf):
 @query("bursts_from_series", f"WITH {src.BURSTS} SELECT user_id, pos, bin, bi, ibg * 3600000 AS ibg FROM bursts")
 def bursts_from_series(spark, sf):
     got = B.bursts_from_series(
-        src.series(spark, sf), ["user_id"], threshold=src.THRESHOLD, min_len=5, max_len=src.BURST_LEN,
+        src.series(spark, sf), ["user_id"], threshold=src.THRESHOLD, min_len=5,
         unit=3_600_000, keep_bins=True,
     )
     long = B.burst_long(got, ["user_id"], ["bi", "ibg", "active_bins"])
@@ -416,11 +416,14 @@ def nested_loader(spark, sf):
     "aligned_pairs",
     f"""WITH {src.BURSTS},
     c AS (SELECT user_id, pos AS p, bi::DOUBLE AS v, ibg::DOUBLE AS g FROM bursts)
-    SELECT user_id, CAST(p AS INTEGER) AS time_index, v AS left_value, CASE WHEN p < 20 THEN g END AS right_value FROM c""",
+    SELECT user_id, CAST(p AS INTEGER) AS time_index, v AS left_value,
+    lead(g) OVER (PARTITION BY user_id ORDER BY p) AS right_value FROM c""",
 )
 def aligned_pairs(spark, sf):
     b = src.bursts(spark, sf).select(
-        "user_id", F.col("bi").cast("array<double>").alias("bi"), F.slice("ibg", 1, 20).cast("array<double>").alias("ibg")
+        "user_id", F.col("bi").cast("array<double>").alias("bi"),
+        # the gaps between bursts: one less than bursts
+        F.slice("ibg", 2, F.size("ibg")).cast("array<double>").alias("ibg"),
     )
     return S.aligned_long(b, ["user_id"], "bi", "ibg")
 

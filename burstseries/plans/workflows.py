@@ -37,7 +37,7 @@ def packets_to_series(
     *,
     bin_ms: int = 1000,
     threshold: float = 100,
-    max_len: int = 9000,
+    max_len: int | None = None,
     min_len: int = 3,
     truncate: str = "span",
 ) -> dict[str, DataFrame]:
@@ -88,7 +88,7 @@ def series_to_splits(
     *,
     threshold: float,
     min_len: int = 3,
-    max_len: int = 9000,
+    max_len: int | None = None,
     min_bursts: int = 3,
     train_ratio: float = 0.7,
     context_ratio: float = 0.7,
@@ -147,6 +147,7 @@ def explain_clusters(
     """Scores, effects, similarity and importance tables of labelled representations and features."""
     names = FE.feature_columns(features, exclude=keys)
     reps = FE.feature_columns(labels, prefix="repr_dim", exclude=[*keys, label])
+    names = FE.present_columns(features, names)
     joined = K.prefixed_join(FE.coerce_numeric(features, names), labels, keys).withColumnRenamed(label, "cluster_id")
     wide = cut_lineage(joined, "labelled")
     long = FE.to_long(wide, ["cluster_id", *keys], names)

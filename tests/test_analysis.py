@@ -283,3 +283,17 @@ def test_quality_scores_say_why_not(spark):
     long = spark.createDataFrame([(0, i, "f", float(i)) for i in range(4)] + [(1, 9, "f", 3.0)], LONG)
     got = C.quality_scores(long, ["row"], min_cluster_size=2).first()
     assert got["calinski_harabasz"] is None and got["status"].startswith("need_at_least_two")
+
+
+def test_similarity_drops_rows_per_feature(spark):
+    """A half-empty or empty feature beside it changes nothing for a whole one."""
+    from burstseries.operators.gram import feature_similarity
+
+    rows = [(float(i), float(i * i % 7), float(i % 5), float(i % 3) if i % 2 else None, None) for i in range(20)]
+    df = spark.createDataFrame(rows, "x1 double, x2 double, a double, b double, c double")
+    alone = feature_similarity(df, ["x1", "x2"], ["a"]).first()
+    got = {r["feature"]: r for r in feature_similarity(df, ["x1", "x2"], ["a", "b", "c"]).collect()}
+    assert set(got) == {"a", "b"} and got["a"]["n"] == 20 and got["b"]["n"] == 10
+    assert abs(got["a"]["cka_to_embedding"] - alone["cka_to_embedding"]) < 1e-12
+    half = feature_similarity(df.filter("b is not null"), ["x1", "x2"], ["b"]).first()
+    assert abs(got["b"]["cka_to_embedding"] - half["cka_to_embedding"]) < 1e-12

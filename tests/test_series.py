@@ -284,3 +284,32 @@ def test_next_step(spark):
     got = [r[0] for r in df.select(T.next_step_pairs(F.col("t"), skip=1)).collect()]
     assert [tuple(p) for p in got[0]] == [(0, 5, 6, False), (1, 6, 0, False), (2, 0, 7, True)]
     assert got[1] == [] and got[2] == []
+
+
+def test_series_inputs_hold_every_bin_and_burst(spark, sf):
+    """No cut: the dense series and bursts of the registered inputs add up to the raw events."""
+    from burstseries.plans import inputs as src
+
+    bins = src.hourly(spark, sf)
+    kept = src.series(spark, sf)
+    users = {r["user_id"] for r in kept.select("user_id").collect()}
+    raw = {}
+    for r in bins.collect():
+        if r["user_id"] in users:
+            raw.setdefault(r["user_id"], []).append((r["bin"], r["inbound"]))
+    for r in kept.collect():
+        rows = raw[r["user_id"]]
+        assert len(r["inbound"]) == max(b for b, _ in rows) - min(b for b, _ in rows) + 1
+        assert sum(r["inbound"]) == sum(v for _, v in rows if v >= src.THRESHOLD)
+    for r in src.bursts(spark, sf).collect():
+        assert sum(r["bi"]) == sum(v for _, v in raw[r["user_id"]] if v >= src.THRESHOLD)
+        assert len(r["bi"]) == sum(v >= src.THRESHOLD for _, v in raw[r["user_id"]])
+
+
+def test_midpoints_fill_open_gaps_only():
+    from burstseries.operators.quantiles import fill_midpoints
+
+    assert fill_midpoints([0, 4, 5], 4) == [0, 2, 4, 5]
+    assert fill_midpoints([0, 8, 20], 5) == [0, 4, 8, 14, 20]
+    assert fill_midpoints([0, 8, 20], 4) == [0, 4, 8, 20]
+    assert fill_midpoints([0, 1, 2], 9) == [0, 1, 2]
