@@ -3,6 +3,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from burstseries.llm.common import stored
 from burstseries.llm.rules import base_figures, judge, kept_documents, learn_rules, verdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -45,9 +46,9 @@ def test_rules_find_what_is_planted(spark):
 
 def test_labels_of_one_kind_or_none(spark, docs, none):
     labels = spark.createDataFrame([(1, 1, 0), (None, 0, 0), (2, None, 1)], "doc_id long, quality int, toxic int")
-    got, rules = judge(base_figures(docs), labels)
+    got, rules = judge(stored(base_figures(docs), "figures"), labels)
     assert rules == [] and got.filter(F.col("kept") == F.col("base_failed")).count() == 0
-    got, rules = judge(base_figures(none), labels.limit(0))
+    got, rules = judge(stored(base_figures(none), "figures"), labels.limit(0))
     assert rules == [] and got.count() == 0
 
 
@@ -64,7 +65,7 @@ def test_held_out_documents(spark, sf, docs):
     d, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
     d = d.join(labels.select("doc_id"), "doc_id")
     held = F.col("doc_id") % 3 == 0
-    got, rules = judge(base_figures(d), labels.filter(~held))
+    got, rules = judge(stored(base_figures(d), "figures"), labels.filter(~held))
     assert rules
     test = got.join(labels.filter(held), "doc_id").groupBy("quality", "kept").count().collect()
     n = {(r["quality"], r["kept"]): r["count"] for r in test}
