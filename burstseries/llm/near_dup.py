@@ -152,15 +152,17 @@ def _confirm(share: int):
     return run
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, n: int, share: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= share * union of their full sets.
+def candidate_sets(ids: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """(id, grams): full sets of the documents named by ``ids``, made again from their texts and stored.
 
-    Sets are made again from the texts of the documents in question only, and meet over two plain joins.
+    Both confirming passes read them, so the texts are shuffled once.
     """
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    texts = texts.join(ids, "id", "left_semi")
-    sets = stored(texts.mapInArrow(_sets(n), "id long, grams array<long>"), "near-sets")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
+    return stored(texts.mapInArrow(_sets(n), "id long, grams array<long>"), "near-sets")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= share * union of their full sets, over two plain joins."""
     one = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("grams_a")), "a")
     two = one.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("grams_b")), "b")
     return two.select("a", "b", "grams_a", "grams_b").mapInArrow(_confirm(share), "a long, b long")
@@ -195,7 +197,8 @@ def near_duplicates(docs: DataFrame, *, n: int = 3, share: int = 85) -> DataFram
     star = shared.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     star = star.join(reps.alias("x"), F.col("a") == F.col("x.id")).join(reps.alias("y"), F.col("b") == F.col("y.id"))
     star = stored(star.filter(_close("x", "y", share)).select("a", "b").distinct(), "near-star")
-    links = stored(confirm(star, docs, n, share), "near-links")
+    sets = candidate_sets(shared.select("id").distinct(), docs, n)
+    links = stored(confirm(star, sets, share), "near-links")
     labels = component_labels(links.unionByName(copies))
 
     # keys whose members are still apart: join them between components
@@ -209,7 +212,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 3, share: int = 85) -> DataFram
     cond = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label"))
     cond &= (F.col("x.id") != F.col("x.pivot")) & _close("x", "y", share)
     more = x.join(y, cond).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    late = stored(confirm(stored(more, "near-more"), docs, n, share), "near-late-links")
+    late = stored(confirm(stored(more, "near-more"), sets, share), "near-late-links")
     if not late.isEmpty():
         labels = component_labels(links.unionByName(copies).unionByName(late))
     out = sig.join(labels, sig["doc_id"] == labels["v"], "left")
