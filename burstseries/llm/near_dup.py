@@ -15,6 +15,10 @@ has a pivot, its smallest id, and every member is paired with it. Pairs within t
 confirmed on their full sets, confirmed links make components, and only keys whose members are then still in
 different components are joined again, between components alone. A pair that is never looked at is thus
 in one component already, so no link between different components is lost.
+
+Before full sets are moved, a pair must pass a bound that holds for certain. Each document that shares a key has
+1024 bits, one per range of shingle hashes, set where it has a shingle. A bit that only one of two documents has
+is a shingle the other lacks, so counting them gives the largest intersection the pair can have.
 """
 
 from __future__ import annotations
@@ -40,6 +44,8 @@ _RNG = np.random.default_rng(20240607)
 _MUL = _RNG.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _XOR = _RNG.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
 CHUNK_NAMES = [f"c{i}" for i in range(CHUNKS)]
+RANGES = 1024  # bits a document has for the bound on intersections
+RANGE_NAMES = [f"b{i}" for i in range(RANGES // 64)]
 
 
 def shingle_sets(piece, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,14 +131,21 @@ def index_keys(reps: DataFrame) -> DataFrame:
     return reps.select(F.explode(F.array(*keys)).alias("key"), F.col("id"))
 
 
+def range_bits(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """One row of 64-bit numbers per document: the ranges of hashes in which it has a shingle."""
+    bits = np.zeros((len(sizes), RANGES), dtype=bool)
+    bits[np.repeat(np.arange(len(sizes)), sizes), (grams >> np.uint64(64 - 10)).astype(np.int64)] = True
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in text_pieces(batch):
                 grams, sizes = shingle_sets(piece, n)
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column("id"), list_array(signed(grams), sizes, pa.int64())], ["id", "grams"]
-                )
+                cols = [piece.column("id"), list_array(signed(grams), sizes, pa.int64())]
+                cols += [pa.array(np.ascontiguousarray(c)) for c in range_bits(grams, sizes).T]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "grams", *RANGE_NAMES])
 
     return run
 
@@ -153,12 +166,13 @@ def _confirm(share: int):
 
 
 def candidate_sets(ids: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """(id, grams): full sets of the documents named by ``ids``, made again from their texts and stored.
+    """(id, grams, bits of the ranges): full sets of the documents named by ``ids``, made again from their texts.
 
-    Both confirming passes read them, so the texts are shuffled once.
+    Both passes over pairs read the bits and both confirming passes the sets, so the texts are shuffled once.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
-    return stored(texts.mapInArrow(_sets(n), "id long, grams array<long>"), "near-sets")
+    schema = "id long, grams array<long>, " + ", ".join(f"{b} long" for b in RANGE_NAMES)
+    return stored(texts.mapInArrow(_sets(n), schema), "near-sets")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
@@ -168,10 +182,25 @@ def confirm(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     return two.select("a", "b", "grams_a", "grams_b").mapInArrow(_confirm(share), "a long, b long")
 
 
+def _common(a: str, b: str) -> Column:
+    """Ranges in which both have a shingle."""
+    out = None
+    for c in RANGE_NAMES:
+        d = F.bit_count(F.col(f"{a}.{c}").bitwiseAND(F.col(f"{b}.{c}")))
+        out = d if out is None else out + d
+    return out
+
+
 def _close(a: str, b: str, share: int) -> Column:
-    """Sizes that allow the similarity, and signatures within the distance."""
-    small, large = F.least(f"{a}.n_shingles", f"{b}.n_shingles"), F.greatest(f"{a}.n_shingles", f"{b}.n_shingles")
-    return (100 * small >= share * large) & (_distance(a, b) <= MAX_DISTANCE)
+    """Sizes and ranges that allow the similarity, and signatures within the distance.
+
+    Of a document's shingles those in ranges of its own are no common ones: at most the common ranges and
+    what it has beyond one per range (``spare``) are.
+    """
+    x, y = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
+    sizes = 100 * F.least(x, y) >= share * F.greatest(x, y)
+    both = _common(a, b) + F.least(f"{a}.spare", f"{b}.spare")
+    return sizes & (_distance(a, b) <= MAX_DISTANCE) & ((100 + share) * both >= share * (x + y))
 
 
 def near_duplicates(docs: DataFrame, *, n: int = 3, share: int = 85) -> DataFrame:
@@ -195,9 +224,13 @@ def near_duplicates(docs: DataFrame, *, n: int = 3, share: int = 85) -> DataFram
     pivots = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).filter("pivot < top")
     shared = stored(keys.join(stored(pivots.select("key", "pivot"), "near-pivots"), "key"), "near-keys")
     star = shared.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    star = star.join(reps.alias("x"), F.col("a") == F.col("x.id")).join(reps.alias("y"), F.col("b") == F.col("y.id"))
+    sets = candidate_sets(stored(shared.select("id").distinct(), "near-candidates"), docs, n)
+    # an id with several texts gets all combinations; the pairs that are wanted are among them
+    ranges = sum((F.bit_count(b) for b in RANGE_NAMES), F.lit(0))
+    parts = reps.join(sets.select("id", *RANGE_NAMES, (F.size("grams") - ranges).alias("spare")), "id")
+    parts = stored(parts, "near-parts")
+    star = star.join(parts.alias("x"), F.col("a") == F.col("x.id")).join(parts.alias("y"), F.col("b") == F.col("y.id"))
     star = stored(star.filter(_close("x", "y", share)).select("a", "b").distinct(), "near-star")
-    sets = candidate_sets(shared.select("id").distinct(), docs, n)
     links = stored(confirm(star, sets, share), "near-links")
     labels = component_labels(links.unionByName(copies))
 
@@ -206,8 +239,8 @@ def near_duplicates(docs: DataFrame, *, n: int = 3, share: int = 85) -> DataFram
     keyed = shared.join(label, "id", "left").select("key", "id", "pivot", F.coalesce("label", "id").alias("label"))
     keyed = stored(keyed, "near-keyed")
     apart = keyed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-    rest = keyed.join(stored(apart, "near-apart"), "key", "left_semi").join(reps, "id")
-    rest = stored(rest.select("key", "id", "pivot", "label", "n_shingles", *CHUNK_NAMES), "near-rest")
+    rest = keyed.join(stored(apart, "near-apart"), "key", "left_semi").join(parts, "id")
+    rest = stored(rest.select("key", "id", "pivot", "label", "n_shingles", *CHUNK_NAMES, "spare", *RANGE_NAMES), "near-rest")
     x, y = rest.alias("x"), rest.alias("y")
     cond = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label"))
     cond &= (F.col("x.id") != F.col("x.pivot")) & _close("x", "y", share)
