@@ -178,9 +178,9 @@ def train_field(x: np.ndarray, per_row: np.ndarray, good: np.ndarray, *, rounds:
 
 
 def document_scores(field: LineField, x: np.ndarray, size: np.ndarray, per_row: np.ndarray) -> np.ndarray:
-    """Length-weighted mean marginal per row; the prior where there is no line with a word."""
+    """Length-weighted mean marginal per row; the prior where there is no line with a word or nothing was learned."""
     out = np.full(len(per_row), field.prior)
-    if len(x):
+    if len(x) and (field.weights.any() or field.change.any()):
         good, _, _ = forward_backward(with_neighbours(x, per_row) @ field.weights, field.change, per_row)
         row = np.repeat(np.arange(len(per_row)), per_row)
         have = per_row > 0

@@ -62,3 +62,10 @@ def test_without_labels(spark, docs):
     field = fit_quality(docs, none)
     assert len(field.weights) == 3 * N + 1
     assert {r["score"] for r in score_quality(docs, field).collect()} == {0.5}
+
+
+def test_labels_of_one_kind(spark, docs):
+    some = docs.limit(98).select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    field = fit_quality(docs, some)
+    assert field.prior == 0.99
+    assert {r["score"] for r in score_quality(docs, field).collect()} == {0.99}
