@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from burstseries.functions.ordered import join_on, with_row
+from burstseries.operators.order_stats import column_medians
 
 EPS = 1e-12
 
@@ -312,7 +313,8 @@ def rescale_effects(effects: DataFrame, mode: str = "none", d0: float | str | No
     if mode != "tanh" or d0 is None:
         raise ValueError("mode is 'none', 'max' or 'tanh' (with d0)")
     if d0 == "median":
-        mid = effects.agg(F.greatest(F.coalesce(F.median(a), F.lit(1.0)), F.lit(1e-6)).alias("__g"))
+        mid = column_medians(effects, {"__m": "abs_cohens_d"})
+        mid = mid.select(F.greatest(F.coalesce("__m", F.lit(1.0)), F.lit(1e-6)).alias("__g"))
         return with_row(effects, mid).withColumn("norm_cohen", F.tanh(a / F.col("__g"))).drop("__g")
     return effects.withColumn("norm_cohen", F.tanh(a / F.lit(max(float(d0), 1e-6))))
 

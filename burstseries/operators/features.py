@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 from burstseries.functions.arrays import finite, keep_finite, let
 from burstseries.functions.ordered import join_on
+from burstseries.operators.order_stats import grouped_percentiles
+from burstseries.session import cut_lineage
 
 PREFIX = "value__"
 
@@ -394,15 +396,17 @@ def clean_strict(df: DataFrame, ids: Sequence[str], columns: Sequence[str], max_
 def impute_long(long: DataFrame) -> DataFrame:
     """Plus/minus infinity to the feature's largest/smallest finite value, missing to its median.
 
-    One aggregate per feature over the whole table, so the result does not depend on row chunks.
+    Facts per feature are taken over the whole table, so the result does not depend on row chunks. The medians
+    are selected by brackets, and the table of facts (a row per feature) is written, so that its size is known and
+    the rows need no shuffle to meet it.
     """
     v = F.col("value")
     fin = finite(v)
-    facts = long.groupBy("feature").agg(
-        F.coalesce(F.max(fin), F.lit(0.0)).alias("__hi"),
-        F.coalesce(F.min(fin), F.lit(0.0)).alias("__lo"),
-        F.coalesce(F.percentile(fin, F.lit(0.5)), F.lit(0.0)).alias("__mid"),
-    )
+    zero = F.lit(0.0)
+    spans = long.groupBy("feature").agg(F.coalesce(F.max(fin), zero).alias("__hi"), F.coalesce(F.min(fin), zero).alias("__lo"))
+    middle = grouped_percentiles(long.select("feature", fin.alias("value")), ["feature"], "value", [0.5])
+    middle = middle.select("feature", F.coalesce(F.get("percentiles", F.lit(0)), zero).alias("__mid"))
+    facts = cut_lineage(join_on(spans, middle, ["feature"]), "impute-facts")
     filled = (
         F.when(v.isNull() | F.isnan(v), F.col("__mid"))
         .when(v == float("inf"), F.col("__hi"))
@@ -416,6 +420,7 @@ def min_max_long(long: DataFrame) -> DataFrame:
     """Per feature its range over all rows, a flat one widened by 1, and values scaled into [0, 1]."""
     facts = long.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     facts = facts.withColumn("hi", F.when(F.col("hi") <= F.col("lo"), F.col("lo") + 1.0).otherwise(F.col("hi")))
+    facts = cut_lineage(facts, "min-max-facts")  # of known size: the rows need no shuffle to meet it
     scaled = (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-12)
     return join_on(long, facts, ["feature"]).withColumn(
         "value_norm", F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0))

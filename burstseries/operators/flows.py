@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burstseries.functions.ordered import join_on
+from burstseries.functions.ranges import WIDTH, dense_ranks
 
 TICK_MS = 100
 
@@ -158,25 +159,19 @@ def pair_bins(pairs: DataFrame, bin_ms: int) -> DataFrame:
     )
 
 
-def rank_ports(ticks: DataFrame, rank_by: str = "row") -> DataFrame:
+def rank_ports(ticks: DataFrame, rank_by: str = "row", width: int = WIDTH) -> DataFrame:
     """Replace the port by its dense rank inside the address, largest bytes first.
 
     ``row`` ranks single aggregate rows, ``port_total`` the port's bytes over all windows. Only
-    distinct (address, bytes) or (address, port) rows enter the window, then the rank is joined back.
+    distinct (address, bytes) rows are ranked, in value ranges of an address, then the rank is joined back.
     """
     total = F.col("total_inbound_bytes") + F.col("total_outbound_bytes")
     if rank_by == "row":
         named = ticks.withColumn("__b", total)
-        what = named.select("ip", "__b").distinct()
-        on = ["ip", "__b"]
     elif rank_by == "port_total":
-        named = ticks
-        what = ticks.groupBy("ip", "service_port").agg(F.sum(total).alias("__b"))
-        on = ["ip", "service_port"]
+        sums = ticks.groupBy("ip", "service_port").agg(F.sum(total).alias("__b"))
+        named = join_on(ticks, sums, ["ip", "service_port"])
     else:
         raise ValueError("rank_by is 'row' or 'port_total'")
-    w = Window.partitionBy("ip").orderBy(F.col("__b").desc())
-    ranked = what.withColumn("__rank", F.dense_rank().over(w).cast("long"))
-    if rank_by == "port_total":
-        ranked = ranked.drop("__b")
-    return join_on(named, ranked, on).withColumn("service_port", F.col("__rank")).select(*ticks.columns)
+    ranked = dense_ranks(named.select("ip", "__b").distinct(), ["ip"], "__b", out="__rank", descending=True, width=width)
+    return join_on(named, ranked, ["ip", "__b"]).withColumn("service_port", F.col("__rank")).select(*ticks.columns)

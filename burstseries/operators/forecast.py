@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from burstseries.functions.arrays import head
+from burstseries.functions.ordered import with_row
 from burstseries.operators.bursts import bursts_covering, expand_timeline
 from burstseries.operators.distances import tail_wasserstein
 from burstseries.operators.features import fano
+from burstseries.operators.order_stats import column_medians
+from burstseries.session import cut_lineage
 
 # ---- metrics on two arrays ----------------------------------------------------------------
 
@@ -183,17 +186,18 @@ MEDIANS = {
 
 
 def metric_report(per_series: DataFrame) -> DataFrame:
-    """Means and medians over series, missing values left out."""
+    """Means and medians over series, missing values left out; the medians are selected by brackets."""
+    per_series = cut_lineage(per_series, "forecast-metrics")
 
     def present(c: str) -> Column:
         return F.nanvl(F.col(c), F.lit(None).cast("double"))
 
-    return per_series.agg(
+    means = per_series.agg(
         F.count(F.lit(1)).alias("num_series_test"),
         *[F.avg(present(c)).alias(f"mean_{c}") for c in MEANS],
         F.avg(present("NZ_SCALED_BI")).alias("mean_MAPE"),
-        *[F.median(present(c)).alias(n) for n, c in MEDIANS.items()],
     )
+    return with_row(means, column_medians(per_series, MEDIANS))
 
 
 def token_accuracy(df: DataFrame, streams: Sequence[str] = ("bi", "ibg"), pad: int = 0, skip: int = 0) -> DataFrame:
