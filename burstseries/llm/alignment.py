@@ -41,6 +41,18 @@ def default_vocabularies() -> tuple[str, str]:
     return public.path("byte_bpe_50k.tiktoken"), public.path("piece_bpe_32k.model")
 
 
+class Spelling:
+    """Bytes of each id of a vocabulary and their lengths."""
+
+    def __init__(self, tokens: dict[int, bytes]):
+        n = max(tokens) + 1
+        self.bytes = [tokens.get(i, b"") for i in range(n)]
+        self.lengths = np.fromiter(map(len, self.bytes), np.int64, n)
+
+    def whole(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids))
+
+
 class ByteTokens:
     """A: byte-level BPE from the rank form of its vocabulary, whose ids are those of its other form."""
 
@@ -51,7 +63,7 @@ class ByteTokens:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._enc = tiktoken.Encoding("a", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.spelling = {i: token for token, i in ranks.items()}
+        self.spelling = Spelling({i: token for token, i in ranks.items()})
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [self._enc.encode_ordinary(" " + t) for t in texts]
@@ -64,7 +76,7 @@ class PieceTokens:
         import sentencepiece
 
         self._enc = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.spelling = {i: self._bytes(self._enc.id_to_piece(i)) for i in range(self._enc.get_piece_size())}
+        self.spelling = Spelling({i: self._bytes(self._enc.id_to_piece(i)) for i in range(self._enc.get_piece_size())})
 
     @staticmethod
     def _bytes(piece: str) -> bytes:
@@ -80,30 +92,26 @@ def tokenizer_pair(a: str, b: str) -> tuple[ByteTokens, PieceTokens]:
     return ByteTokens(a), PieceTokens(b)
 
 
-def ends_of(ids: list[int], spelling: dict[int, bytes]) -> tuple[list[int], bytes]:
-    """Byte after each token, and all bytes."""
-    parts = [spelling[i] for i in ids]
-    return np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))).tolist(), b"".join(parts)
-
-
-def runs(ea: list[int], eb: list[int]) -> Iterator[tuple[int, int, int, int]]:
-    """(i, i end, j, j end) of one-to-one stretches, where both lengths are equal and every pair ends
-    together, and of single irregular groups. ``ea`` and ``eb`` rise and have the same last end."""
+def runs(ea: list[int], eb: list[int]) -> list[int]:
+    """(i, i end, j, j end), laid end to end, of one-to-one stretches, where both lengths are equal and every pair
+    ends together, and of single irregular groups. ``ea`` and ``eb`` rise and have the same last end."""
+    out: list[int] = []
     i = j = 0
     n, m = len(ea), len(eb)
     while i < n:
-        start, step, growing = i, 1, True
-        while step:
-            if i + step <= n and j + step <= m and ea[i : i + step] == eb[j : j + step]:
-                i, j = i + step, j + step
-                step = step * 2 if growing else step // 2
-            else:
-                growing, step = False, step // 2
-        if i > start:
-            yield start, i, j - (i - start), j
-        if i < n and ea[i] != eb[j]:
-            a, b = i, j
-            x, y = ea[i], eb[j]
+        x, y = ea[i], eb[j]
+        if x == y:
+            start, first = i, j
+            i, j, step = i + 1, j + 1, 2
+            while i + step <= n and j + step <= m and ea[i : i + step] == eb[j : j + step]:
+                i, j, step = i + step, j + step, step * 2
+            while step > 1:  # the run ends within the next ``step`` ends
+                step //= 2
+                if i + step <= n and j + step <= m and ea[i : i + step] == eb[j : j + step]:
+                    i, j = i + step, j + step
+            out += (start, i, first, j)
+        else:
+            start, first = i, j
             while x != y:
                 if x < y:
                     i += 1
@@ -112,47 +120,66 @@ def runs(ea: list[int], eb: list[int]) -> Iterator[tuple[int, int, int, int]]:
                     j += 1
                     y = eb[j]
             i, j = i + 1, j + 1
-            yield a, i, b, j
+            out += (start, i, first, j)
+    return out
 
 
 class Aligned:
-    """Groups of one text: how many, their links, their spelling as text, and distinct pairs with how often."""
-
-    def __init__(self, a: list[int], b: list[int], ea: list[int], eb: list[int]):
-        self.groups = self.links = 0
-        said: list[str] = []
-        sa, sb = list(map(str, a)), list(map(str, b))
-        na, nb = np.array(a, dtype=np.int64) << SHIFT, np.array(b, dtype=np.int64)
-        parts, times, listed = [], [], []
-        for i, i2, j, j2 in runs(ea, eb):
-            p, q = i2 - i, j2 - j
-            if p == q and ea[i] == eb[j]:
-                self.groups += p
-                self.links += p
-                said += [x + "|" + y for x, y in zip(sa[i:i2], sb[j:j2], strict=True)]
-                parts.append(na[i:i2] + nb[j:j2])
-                continue
-            self.groups += 1
-            self.links += p * q
-            said.append(",".join(sa[i:i2]) + "|" + ",".join(sb[j:j2]))
-            if p * q <= SMALL:
-                listed += [(x << SHIFT) + y for x in a[i:i2] for y in b[j:j2]]
-            else:  # distinct ids of either side, each pair as often as both say
-                (ua, ka), (ub, kb) = np.unique(na[i:i2], return_counts=True), np.unique(nb[j:j2], return_counts=True)
-                parts.append((ua[:, None] + ub[None, :]).ravel())
-                times.append((len(parts) - 1, (ka[:, None] * kb[None, :]).ravel()))
-        parts.append(np.array(listed, dtype=np.int64))
-        weights = [np.ones(len(x), dtype=np.int64) for x in parts] if times else None
-        for k, w in times:
-            weights[k] = w
-        flat = np.concatenate(parts)
-        if weights is None:
+    """Groups of one text: how many, their links, their spelling as text, and distinct pairs with how often.
+
+    ``a`` and ``b`` are the ids, ``ea`` and ``eb`` the bytes where they end, ``signs`` the texts of ``signs_of``.
+    """
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, ea: np.ndarray, eb: np.ndarray, signs: tuple[list[str], list[int]]):
+        i, i2, j, j2 = np.array(runs(ea.tolist(), eb.tolist()), dtype=np.int64).reshape(-1, 4).T
+        straight = (i2 - i == j2 - j) & (ea[i] == eb[j])
+        held = np.where(straight, i2 - i, 1)  # groups of a run
+        self.groups = int(held.sum())
+        within = np.arange(self.groups) - np.repeat(np.cumsum(held) - held, held) + 1
+        straight = np.repeat(straight, held)
+        a_end = np.where(straight, np.repeat(i, held) + within, np.repeat(i2, held))
+        b_end = np.where(straight, np.repeat(j, held) + within, np.repeat(j2, held))
+        p, q = np.diff(a_end, prepend=0), np.diff(b_end, prepend=0)
+        self.links = int((p * q).sum())
+
+        # places of the tokens in the text of all groups: those of A, then those of B, group by group
+        text, (comma_a, bar, comma_b, semicolon) = signs
+        of_a, of_b = np.repeat(np.arange(self.groups), p), np.repeat(np.arange(self.groups), q)
+        said = np.empty(len(a) + len(b), dtype=np.int64)
+        last_a, last_b = np.zeros(len(a), dtype=bool), np.zeros(len(b), dtype=bool)
+        last_a[a_end - 1], last_b[b_end - 1] = True, True
+        said[np.arange(len(a)) + (b_end - q)[of_a]] = a + np.where(last_a, bar, comma_a)
+        said[np.arange(len(b)) + a_end[of_b]] = b + np.where(last_b, semicolon, comma_b)
+        self.text = "".join(map(text.__getitem__, said.tolist()))[:-1]
+
+        large = p * q > SMALL
+        times = np.where(large, 0, q)[of_a]
+        first = np.repeat((b_end - q)[of_a] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+        flat = np.repeat(a << SHIFT, times) + b[first]
+        if not large.any():
             self.pairs, self.times = np.unique(flat, return_counts=True)
-        else:
-            self.pairs, back = np.unique(flat, return_inverse=True)
-            self.times = np.zeros(len(self.pairs), dtype=np.int64)
-            np.add.at(self.times, back, np.concatenate(weights))
-        self.text = ";".join(said)
+            return
+        parts, weights = [flat], [np.ones(len(flat), dtype=np.int64)]
+        for g in np.flatnonzero(large):  # distinct ids of either side, each pair as often as both say
+            ua, ka = np.unique(a[a_end[g] - p[g] : a_end[g]] << SHIFT, return_counts=True)
+            ub, kb = np.unique(b[b_end[g] - q[g] : b_end[g]], return_counts=True)
+            parts.append((ua[:, None] + ub[None, :]).ravel())
+            weights.append((ka[:, None] * kb[None, :]).ravel())
+        self.pairs, back = np.unique(np.concatenate(parts), return_inverse=True)
+        self.times = np.zeros(len(self.pairs), dtype=np.int64)
+        np.add.at(self.times, back, np.concatenate(weights))
+
+
+def signs_of(n_a: int, n_b: int) -> tuple[list[str], list[int]]:
+    """Every id of both vocabularies as text with each sign that may follow it, and where each such part starts."""
+    parts = [(n_a, ","), (n_a, "|"), (n_b, ","), (n_b, ";")]
+    starts = np.cumsum([0, *[n for n, _ in parts]])[:4].tolist()
+    return [f"{i}{sign}" for n, sign in parts for i in range(n)], starts
+
+
+@lru_cache(maxsize=2)
+def _signs(n_a: int, n_b: int) -> tuple[list[str], list[int]]:
+    return signs_of(n_a, n_b)
 
 
 LINKED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links array<struct<pair:long,times:long>>"
@@ -174,20 +201,21 @@ def _align(vocabularies: tuple[str, str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = tokenizer_pair(*vocabularies)
+        signs = _signs(len(first.spelling.bytes), len(second.spelling.bytes))
         for batch in batches:
             rows, pairs, times, held = [], [], [], 0
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             for lo in range(0, len(ids), 200):
                 part = [t.as_py() or "" for t in texts[lo : lo + 200]]
                 for doc, text, a, b in zip(ids[lo : lo + 200], part, first.encode(part), second.encode(part), strict=True):
-                    (ea, whole_a), (eb, whole_b) = ends_of(a, first.spelling), ends_of(b, second.spelling)
                     want = b" " + text.encode()
-                    if not text or whole_a != want or whole_b != want:
+                    if not text or first.spelling.whole(a) != want or second.spelling.whole(b) != want:
                         rows.append((doc, 0, 0, 0, 0, ""))
                         pairs.append(none)
                         times.append(none)
                         continue
-                    got = Aligned(a, b, ea, eb)
+                    a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+                    got = Aligned(a, b, first.spelling.lengths[a].cumsum(), second.spelling.lengths[b].cumsum(), signs)
                     rows.append((doc, len(a), len(b), got.groups, got.links, hashlib.sha256(got.text.encode()).hexdigest()))
                     pairs.append(got.pairs)
                     times.append(got.times)

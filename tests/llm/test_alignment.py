@@ -1,12 +1,13 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers as public
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from burstseries.llm.alignment import Aligned, aligned_documents, default_vocabularies, runs, tokenizer_pair
+from burstseries.llm.alignment import Aligned, aligned_documents, default_vocabularies, runs, signs_of, tokenizer_pair
 
 
 @pytest.fixture(scope="module")
@@ -133,7 +134,8 @@ def test_runs(x, y):
         groups.append((i, i2, j, j2))
         i, j = i2, j2
     got = []
-    for a, a2, b, b2 in runs(ea, eb):
+    flat = runs(ea, eb)
+    for a, a2, b, b2 in (flat[k : k + 4] for k in range(0, len(flat), 4)):
         if a2 - a == b2 - b and ea[a] == eb[b]:
             got += [(a + k, a + k + 1, b + k, b + k + 1) for k in range(a2 - a)]
         else:
@@ -142,10 +144,11 @@ def test_runs(x, y):
 
 
 def test_large_groups_count_pairs_as_listed():
-    a, b = [k % 7 for k in range(100)], [k % 5 for k in range(90)]
-    ea, eb = list(range(2, 200, 2)) + [1001], list(range(1, 179, 2)) + [1001]
+    a, b = np.array([k % 7 for k in range(100)]), np.array([k % 5 for k in range(90)])
+    ea, eb = np.array(list(range(2, 200, 2)) + [1001]), np.array(list(range(1, 179, 2)) + [1001])
     assert not set(ea[:-1]) & set(eb[:-1])
-    got = Aligned(a, b, ea, eb)
-    want = Counter((x << 32) + y for x in a for y in b)
+    got = Aligned(a, b, ea, eb, signs_of(7, 5))
+    want = Counter((int(x) << 32) + int(y) for x in a for y in b)
     assert dict(zip(got.pairs.tolist(), got.times.tolist(), strict=True)) == dict(want)
     assert (got.groups, got.links) == (1, 9000)
+    assert got.text == ",".join(map(str, a)) + "|" + ",".join(map(str, b))
