@@ -209,13 +209,16 @@ def _align(vocabularies: tuple[str, str]):
                 part = [t.as_py() or "" for t in texts[lo : lo + 200]]
                 for doc, text, a, b in zip(ids[lo : lo + 200], part, first.encode(part), second.encode(part), strict=True):
                     want = b" " + text.encode()
-                    if not text or first.spelling.whole(a) != want or second.spelling.whole(b) != want:
+                    a = np.array(a, dtype=np.int64)
+                    ea = first.spelling.lengths[a].cumsum()
+                    # A cuts the bytes it is given, so it spells them if nothing was passed over; B may rewrite a text
+                    if not text or ea[-1] != len(want) or second.spelling.whole(b) != want:
                         rows.append((doc, 0, 0, 0, 0, ""))
                         pairs.append(none)
                         times.append(none)
                         continue
-                    a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
-                    got = Aligned(a, b, first.spelling.lengths[a].cumsum(), second.spelling.lengths[b].cumsum(), signs)
+                    b = np.array(b, dtype=np.int64)
+                    got = Aligned(a, b, ea, second.spelling.lengths[b].cumsum(), signs)
                     rows.append((doc, len(a), len(b), got.groups, got.links, hashlib.sha256(got.text.encode()).hexdigest()))
                     pairs.append(got.pairs)
                     times.append(got.times)
