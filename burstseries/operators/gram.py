@@ -1,15 +1,20 @@
 """Cross-product sums of wide numeric rows, the shared pass behind similarity and geometry.
 
-Each task adds up small matrices for the rows it holds and emits one row per matrix cell; Spark
-sums the cells. Rows are centred by exact means first, so large offsets do not cost precision.
+Each task adds up small matrices for the groups it holds and hands on one array per group, the upper triangle
+packed; arrays are added in two steps, the first over salts of a group. Rows are centred by exact means first, so
+large offsets do not cost precision.
+
+Columns with missing values share that pass: rows of one pattern of missing columns are multiplied once, and the
+product is kept once more for each column that lacks (or, where that is less, has) those rows. No row is copied.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +22,7 @@ from pyspark.sql import types as T
 from burstseries.functions.arrays import dot, finite, let, lit_array
 from burstseries.functions.ordered import join_on, with_row
 from burstseries.operators.features import to_long
+from burstseries.session import cut_lineage
 
 MAX_CELLS = 4_000_000
 
@@ -101,6 +107,106 @@ def cross_products(vectors: DataFrame, group: Sequence[str], vector: str, left:
     return partial.groupBy(*group, "i", "j").agg(F.sum("s").alias("s"))
 
 
+# ---- packed sums per group ----------------------------------------------------------------
+
+GROUP_ID = "__gid"
+PARTIAL = f"{GROUP_ID} long, part int, cells array<double>"
+
+
+def triangle(d: int) -> int:
+    return d * (d + 1) // 2
+
+
+def unpacked(cells: np.ndarray, d: int) -> np.ndarray:
+    """The symmetric matrix of a packed upper triangle."""
+    out = np.zeros((d, d))
+    out[np.triu_indices(d)] = cells[: triangle(d)]
+    return out + np.triu(out, 1).T
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(-1, width)
+
+
+def _packed_sums(d: int, m: int, gaps: Mapping[int, bool]):
+    """Per group, part 0: x with x, x with y, y with y, where a missing y counts as 0. Per column ``k`` of ``gaps``,
+    part ``k + 1``: x with x and sums of x over the rows without a value of ``k`` (True) or with one (False)."""
+    upper = np.triu_indices(d)
+    columns = sorted(gaps)
+    lacking = np.array([gaps[k] for k in columns], dtype=bool)
+
+    def emit(sums: dict) -> Iterator[pa.RecordBatch]:
+        keys = list(sums)
+        for lo in range(0, len(keys), 64):
+            part = keys[lo : lo + 64]
+            cols = [pa.array([k[0] for k in part], pa.int64()), pa.array([k[1] for k in part], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([sums[k] for k in part], pa.list_(pa.float64()))], [GROUP_ID, "part", "cells"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        cells = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            gid = batch.column(GROUP_ID).to_numpy()
+            x = _matrix(batch.column("x"), d)
+            y = _matrix(batch.column("y"), m) if m else np.zeros((len(gid), 0))
+            gone = np.isnan(y)
+            wanted = gone[:, columns] == lacking
+            pattern = np.unique(np.packbits(wanted, axis=1), axis=0, return_inverse=True)[1].ravel() if columns else np.zeros(len(gid), dtype=int)
+            y = np.where(gone, 0.0, y)
+            order = np.lexsort((pattern, gid))
+            cut = np.flatnonzero(np.diff(gid[order]) | np.diff(pattern[order])) + 1
+            for rows in np.split(order, cut):
+                g, xs, ys = int(gid[rows[0]]), x[rows], y[rows]
+                square = (xs.T @ xs)[upper]
+                adds = [((g, 0), np.concatenate([square, (ys.T @ xs).ravel(), np.einsum("ij,ij->j", ys, ys)]))]
+                total = np.concatenate([square, xs.sum(axis=0)])
+                adds += [((g, columns[i] + 1), total) for i in np.flatnonzero(wanted[rows[0]])]
+                for key, value in adds:
+                    if key in sums:
+                        sums[key] += value
+                    else:
+                        sums[key] = value.copy()
+                        cells += len(value)
+            if cells > MAX_CELLS:
+                yield from emit(sums)
+                sums, cells = {}, 0
+        yield from emit(sums)
+
+    return run
+
+
+def packed_sums(rows: DataFrame, d: int, m: int = 0, gaps: Mapping[int, bool] | None = None) -> DataFrame:
+    """(__gid, part, cells) for ``rows`` (__gid, x: array of d, y: array of m, null where missing), centred.
+
+    A task hands on one array per group and part. The salt is the square root of the most arrays a group has, so
+    neither step gathers more than that many.
+    """
+    fields = [GROUP_ID, "x", *(["y"] if m else [])]
+    partial = cut_lineage(rows.select(*fields).mapInArrow(_packed_sums(d, m, gaps or {}), PARTIAL), "gram-partial")
+    most = partial.groupBy(GROUP_ID, "part").count().agg(F.max("count")).first()[0] or 1
+    salts = int(np.ceil(np.sqrt(most)))
+
+    def added(df: DataFrame, *by: str) -> DataFrame:
+        every = F.collect_list("cells")
+        total = F.aggregate(F.slice(every, 2, F.greatest(F.size(every) - 1, F.lit(0))), F.get(every, F.lit(0)), lambda a, c: F.zip_with(a, c, lambda p, q: p + q))
+        return df.groupBy(*by).agg(total.alias("cells"))
+
+    salted = partial.withColumn("salt", (F.rand(7) * salts).cast("int")) if salts > 1 else partial.withColumn("salt", F.lit(0))
+    return added(added(salted, GROUP_ID, "part", "salt"), GROUP_ID, "part")
+
+
+def group_packed(vectors: DataFrame, group: Sequence[str], vector: str, d: int) -> tuple[DataFrame, DataFrame]:
+    """(groups with __gid, mean and n; packed sums of their centred vectors) for rows of ``d`` numbers each."""
+    facts = vector_means(vectors, group, vector)
+    facts = cut_lineage(facts.withColumn(GROUP_ID, F.monotonically_increasing_id()), "gram-groups")
+    rows = join_on(vectors, facts, list(group)) if group else with_row(vectors, facts)
+    centred = F.zip_with(F.col(vector), F.col("mean"), lambda x, m: x.cast("double") - m)
+    return facts, packed_sums(rows.select(GROUP_ID, centred.alias("x")), d)
+
+
 def block_similarity(
     df: DataFrame, x_cols: Sequence[str], y_cols: Sequence[str], group: Sequence[str] = ()
 ) -> DataFrame:
@@ -109,34 +215,63 @@ def block_similarity(
     Null for fewer than two complete rows or a block without variance.
     """
     both = [*x_cols, *y_cols]
+    group = list(group)
     merged = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n_merged"))
-    full = complete_rows(df, both).select(
-        *group, F.array(*[F.col(f"`{c}`").cast("double") for c in both]).alias("__v")
-    )
-    mid = centered(full, group, "__v")
-    sizes = mid.groupBy(*group).agg(F.count(F.lit(1)).alias("n_samples"))
-    g = cross_products(mid, group, "__v")
-    d = len(x_cols)
-    sq = F.col("s") * F.col("s")
-    norms = g.groupBy(*group).agg(
-        F.sum(F.when((F.col("i") < d) & (F.col("j") >= d), sq)).alias("__xy"),
-        F.sum(F.when((F.col("i") < d) & (F.col("j") < d), sq)).alias("__xx"),
-        F.sum(F.when((F.col("i") >= d) & (F.col("j") >= d), sq)).alias("__yy"),
-    )
-
-    def bring(left: DataFrame, right: DataFrame) -> DataFrame:
-        return join_on(left, right, list(group), "left") if group else with_row(left, right)
-
-    out = bring(bring(merged, sizes), norms)
-    cka = F.col("__xy") / F.nullif(F.sqrt("__xx") * F.sqrt("__yy"), F.lit(0.0))
+    d, left = len(both), len(x_cols)
+    # one array from here on: many columns named one by one above a filter on all of them make planning explode
+    full = complete_rows(df, both).select(*group, F.array(*[F.col(f"`{c}`").cast("double") for c in both]).alias("__v"))
+    means = F.array(*[F.avg(F.get("__v", F.lit(i))) for i in range(d)])
+    facts = full.groupBy(*group).agg(F.count(F.lit(1)).alias("n_samples"), means.alias("mean"))
+    facts = cut_lineage(facts.withColumn(GROUP_ID, F.monotonically_increasing_id()), "gram-groups")
+    rows = join_on(full, facts, group) if group else with_row(full, facts)
+    sums = packed_sums(rows.select(GROUP_ID, F.zip_with("__v", "mean", lambda x, m: x - m).alias("x")), d)
+
+    @F.pandas_udf("double")
+    def score(cells: pd.Series) -> pd.Series:
+        out = []
+        for flat in cells:
+            a = unpacked(np.asarray(flat, dtype=float), d)
+            under = np.sqrt((a[:left, :left] ** 2).sum()) * np.sqrt((a[left:, left:] ** 2).sum())
+            out.append((a[:left, left:] ** 2).sum() / under if under else None)
+        return pd.Series(out, dtype=float)
+
+    scored = sums.select(F.col(GROUP_ID).alias("__of"), score("cells").alias("__cka"))
+    named = facts.join(scored, F.col(GROUP_ID) == F.col("__of"), "left").select(*group, "n_samples", F.nanvl("__cka", F.lit(None)).alias("__cka"))
+    out = join_on(merged, named, group, "left") if group else with_row(merged, named)
     return out.select(
         *group,
         "n_merged",
         F.coalesce("n_samples", F.lit(0).cast("long")).alias("n_samples"),
-        F.when(F.col("n_samples") >= 2, cka).alias("cka"),
+        F.when(F.col("n_samples") >= 2, F.col("__cka")).alias("cka"),
     )
 
 
+def _column_scores(d: int, m: int, gaps: Mapping[int, bool]):
+    """Rows (__gid, k, num, xx, yy) of a group's packed sums; ``n`` holds each column's rows."""
+    upper = np.triu_indices(d)
+    weight = np.where(upper[0] == upper[1], 1.0, 2.0)
+    size = triangle(d)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for gid, parts, n in zip(frame[GROUP_ID], frame["parts"], frame["n"], strict=True):
+                by = {int(p["part"]): np.asarray(p["cells"], dtype=float) for p in parts}
+                base = by[0]
+                xy, yy = base[size : size + d * m].reshape(m, d), base[size + d * m :]
+                for k in range(m):
+                    square, x = base[:size], np.zeros(d)
+                    if k in gaps and n[k]:
+                        part = by.get(k + 1, np.zeros(size + d))
+                        square = square - part[:size] if gaps[k] else part[:size]
+                        x = -part[size:] if gaps[k] else part[size:]
+                        square = square - np.outer(x, x)[upper] / n[k]
+                    out.append((gid, k, float((xy[k] ** 2).sum()), float(np.sqrt((weight * square**2).sum())), float(yy[k])))
+            yield pd.DataFrame(out, columns=["of", "k", "num", "xx", "yy"])
+
+    return run
+
+
 def feature_similarity(
     df: DataFrame,
     x_cols: Sequence[str],
@@ -145,59 +280,50 @@ def feature_similarity(
     *,
     min_rows: int = 1,
 ) -> DataFrame:
-    """Linear similarity of the block ``x_cols`` to each single column of ``y_cols``, one pass.
+    """Linear similarity of the block ``x_cols`` to each single column of ``y_cols``.
 
     Also the column's variance, share of zeros and whether it is constant; constant columns score 0.
     Rows without a complete block are dropped for all, rows without a value only for the column that lacks
-    it. Columns without gaps share one pass; each column with gaps is a group of its own rows in a second
-    pass. A column without any value has no row.
+    it. One aggregate takes the means, counts and variances of all columns, one pass the products; a column
+    without any value has no row.
     """
-    usable = complete_rows(df, x_cols)
-    missing = [F.max((F.col(f"`{c}`").isNull() | F.isnan(F.col(f"`{c}`").cast("double"))).cast("int")) for c in y_cols]
-    flags = usable.agg(*[m.alias(f"m{i}") for i, m in enumerate(missing)]).first() if missing else []
-    gaps = [c for c, m in zip(y_cols, flags, strict=True) if m]
-    if not gaps:
-        return _similarity(usable, x_cols, y_cols, group, min_rows)
-    cells = F.array(*[F.struct(F.lit(c).alias("f"), F.col(f"`{c}`").cast("double").alias("v")) for c in gaps])
-    one = usable.select(*group, *[F.col(f"`{c}`") for c in x_cols], F.explode(cells).alias("__c"))
-    one = one.select(*group, *[F.col(f"`{c}`") for c in x_cols], F.col("__c.f").alias("__f"), F.col("__c.v").alias("__y"))
-    got = _similarity(one, x_cols, ["__y"], [*group, "__f"], min_rows)
-    got = got.withColumn("feature", F.col("__f")).drop("__f")
-    solid = [c for c in y_cols if c not in gaps]
-    return _similarity(usable, x_cols, solid, group, min_rows).unionByName(got) if solid else got
-
-
-def _similarity(df: DataFrame, x_cols: Sequence[str], y_cols: Sequence[str], group: Sequence[str], min_rows: int) -> DataFrame:
-    """The scores of columns that all have a value in the same rows."""
-    names = list(y_cols)
-    both = [*x_cols, *names]
-    full = complete_rows(df, both).select(
-        *group, F.array(*[F.col(f"`{c}`").cast("double") for c in both]).alias("__v")
+    group, names, d, m = list(group), list(y_cols), len(x_cols), len(y_cols)
+    numbers = [F.col(f"`{c}`").cast("double") for c in names]
+    arrays = [F.array(*[F.col(f"`{c}`").cast("double") for c in x_cols]).alias("__x")]
+    arrays.append(F.array(*[F.when(F.isnan(y), None).otherwise(y) for y in numbers]).alias("__y"))
+    full = complete_rows(df, x_cols).select(*group, *arrays)
+    ys = [F.get("__y", F.lit(k)) for k in range(m)]
+    facts = full.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.array(*[F.avg(F.get("__x", F.lit(i))) for i in range(d)]).alias("x_mean"),
+        F.array(*[F.avg(y) for y in ys]).alias("y_mean"),
+        F.array(*[F.count(y) for y in ys]).alias("n"),
+        F.array(*[F.var_pop(y) for y in ys]).alias("var"),
+        F.array(*[F.avg((y == 0).cast("double")) for y in ys]).alias("zero"),
     )
-    d = len(x_cols)
-    long = full.select(*group, F.posexplode(F.slice("__v", d + 1, len(names))).alias("k", "__y"))
-    facts = long.groupBy(*group, "k").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.var_pop("__y").alias("var"),
-        F.avg((F.col("__y") == 0).cast("double")).alias("frac_zero"),
-    )
-    g = cross_products(centered(full, group, "__v"), group, "__v", left=d)
-    sq = F.col("s") * F.col("s")
-    num = g.filter((F.col("i") < d) & (F.col("j") >= d)).groupBy(*group, (F.col("j") - d).alias("k")).agg(
-        F.sum(sq).alias("__num")
-    )
-    own = g.filter((F.col("i") >= d) & (F.col("i") == F.col("j"))).select(
-        *group, (F.col("j") - d).alias("k"), F.col("s").alias("__yy")
+    facts = cut_lineage(facts.withColumn(GROUP_ID, F.monotonically_increasing_id()), "gram-groups")
+    totals = facts.agg(F.sum("rows"), *[F.sum(F.get("n", F.lit(k))) for k in range(m)]).first()
+    every = totals[0] or 0
+    # of a column with gaps the smaller side is added up: rows that lack it, or rows that have it
+    gaps = {k: 2 * c >= every for k, c in enumerate(totals[1:]) if (c or 0) < every}
+    means = facts.select(*group, GROUP_ID, "x_mean", "y_mean")
+    rows = join_on(full, means, group) if group else with_row(full, means)
+    x = F.zip_with("__x", "x_mean", lambda v, a: v - a)
+    y = F.zip_with("__y", "y_mean", lambda v, a: v - a)
+    sums = packed_sums(rows.select(GROUP_ID, x.alias("x"), y.alias("y")), d, m, gaps)
+    parts = sums.groupBy(F.col(GROUP_ID).alias("of")).agg(F.collect_list(F.struct("part", "cells")).alias("parts"))  # m + 1 at most
+    held = facts.select(GROUP_ID, "n").join(parts, F.col(GROUP_ID) == F.col("of")).select(GROUP_ID, "parts", "n")
+    scores = held.mapInPandas(_column_scores(d, m, gaps), "of long, k int, num double, xx double, yy double")
+    cells = F.arrays_zip(F.array(*[F.lit(c) for c in names]).alias("feature"), "n", "var", "zero")
+    long = facts.select(*group, GROUP_ID, F.posexplode(cells).alias("at", "c")).select(
+        *group, GROUP_ID, "at", F.col("c.feature").alias("feature"), F.col("c.n").alias("n"), F.col("c.var").alias("var"), F.col("c.zero").alias("frac_zero")
     )
-    block = g.filter((F.col("i") < d) & (F.col("j") < d)).groupBy(*group).agg(F.sqrt(F.sum(sq)).alias("__xx"))
-    out = join_on(join_on(facts, num, [*group, "k"]), own, [*group, "k"])
-    out = join_on(out, block, list(group)) if group else with_row(out, block)
+    out = long.join(scores, (F.col(GROUP_ID) == F.col("of")) & (F.col("at") == F.col("k")))
     constant = F.isnan("var") | (F.col("var") <= 1e-12)
-    score = F.coalesce(F.col("__num") / F.nullif(F.col("__xx") * F.col("__yy"), F.lit(0.0)), F.lit(0.0))
-    labels = F.array(*[F.lit(c) for c in names])
-    return out.filter(F.col("n") >= min_rows).select(
+    score = F.coalesce(F.col("num") / F.nullif(F.col("xx") * F.col("yy"), F.lit(0.0)), F.lit(0.0))
+    return out.filter(F.col("n") >= max(1, min_rows)).select(
         *group,
-        F.get(labels, F.col("k")).alias("feature"),
+        "feature",
         F.when(constant, F.lit(0.0)).otherwise(score).alias("cka_to_embedding"),
         "var",
         "frac_zero",
@@ -264,20 +390,15 @@ def spectrum_stats(vectors: DataFrame, group: Sequence[str], vector: str) -> Dat
     """
     group = list(group)
     kept = vectors.filter(~F.exists(vector, lambda x: x.isNull() | F.isnan(x)))
-    mid = centered(kept, group, vector)
-    sizes = mid.groupBy(*group).agg(F.count(F.lit(1)).alias("n_samples"))
-    g = cross_products(mid, group, vector)
-    cells = g.groupBy(*group).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "j", "s"))), lambda c: c["s"]).alias("cells")
-    )
+    first = kept.select(F.size(vector)).first()
+    d = first[0] if first else 0
+    facts, sums = group_packed(kept, group, vector, d)
 
     @F.pandas_udf("top double, rank double")
     def reduce(cells: pd.Series, n: pd.Series) -> pd.DataFrame:
         rows = []
         for flat, size in zip(cells, n, strict=True):
-            a = np.asarray(flat, dtype=float)
-            d = int(round(np.sqrt(len(a))))
-            lam, _ = _eigen(a.reshape(d, d))
+            lam, _ = _eigen(unpacked(np.asarray(flat, dtype=float), d))
             total = lam.sum()
             if size < 2 or total <= 0:
                 rows.append((None, None))
@@ -286,10 +407,10 @@ def spectrum_stats(vectors: DataFrame, group: Sequence[str], vector: str) -> Dat
             rows.append((lam[0] / total, float(np.exp(-(p * np.log(p)).sum()) / min(size, d))))
         return pd.DataFrame(rows, columns=["top", "rank"]).astype(float)
 
-    joined = join_on(cells, sizes, group) if group else with_row(cells, sizes)
-    return joined.withColumn("__r", reduce("cells", "n_samples")).select(
+    joined = facts.join(sums.withColumnRenamed(GROUP_ID, "__of"), F.col(GROUP_ID) == F.col("__of"))
+    return joined.withColumn("__r", reduce("cells", "n")).select(
         *group,
-        "n_samples",
+        F.col("n").alias("n_samples"),
         F.col("__r.top").alias("top_variance_ratio"),
         F.col("__r.rank").alias("effective_rank_norm"),
     )
@@ -298,13 +419,10 @@ def spectrum_stats(vectors: DataFrame, group: Sequence[str], vector: str) -> Dat
 def first_component(vectors: DataFrame, vector: str) -> tuple[list[float], list[float]]:
     """Mean and first principal direction of a table of vectors (2 x d numbers reach the driver)."""
     kept = vectors.filter(~F.exists(vector, lambda x: x.isNull() | F.isnan(x)))
-    mean = vector_means(kept, [], vector).select("mean").first()[0]
-    cells = cross_products(centered(kept, [], vector), [], vector).collect()
-    d = len(mean)
-    a = np.zeros((d, d))
-    for r in cells:
-        a[r["i"], r["j"]] = r["s"]
-    _, vec = _eigen(a)
+    d = kept.select(F.size(vector)).first()[0]
+    facts, sums = group_packed(kept, [], vector, d)
+    mean = facts.select("mean").first()[0]
+    _, vec = _eigen(unpacked(np.asarray(sums.select("cells").first()[0], dtype=float), d))
     lead = vec[:, 0]
     return [float(m) for m in mean], [float(x) for x in lead * np.sign(lead[np.argmax(np.abs(lead))])]
 

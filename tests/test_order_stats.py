@@ -107,3 +107,47 @@ def test_running_counts(spark):
     assert {r["total"] for r in got if r["g"] == "g"} == {400}
     for r in got:
         assert r["upto"] == sum(1 for g, v in rows if g == r["g"] and v <= r["v"])
+
+
+def test_similarity_with_every_pattern_of_gaps(spark):
+    import pandas as pd
+
+    from burstseries.operators.gram import feature_similarity
+
+    rng = np.random.default_rng(8)
+    n, d, m = 400, 4, 5
+    x, y = rng.normal(50, 3, (n, d)), rng.normal(-20, 2, (n, m))
+    y[:, 0] += x[:, 1]
+    for k, share in enumerate((0.0, 0.1, 0.5, 0.97)):
+        y[rng.random(n) < share, k] = np.nan
+    y[:, 4] = 3.0
+    group = np.where(rng.random(n) < 0.9, 1, rng.integers(2, 4, n))
+    xs, ys = [f"x{i}" for i in range(d)], [f"y{k}" for k in range(m)]
+    df = spark.createDataFrame(pd.DataFrame(np.column_stack([group, x, y]), columns=["g", *xs, *ys]).astype({"g": int})).repartition(6)
+
+    def plain(rows, k):
+        keep = rows & ~np.isnan(y[:, k])
+        a, b = x[keep] - x[keep].mean(axis=0), y[keep, k] - y[keep, k].mean()
+        under = np.sqrt(((a.T @ a) ** 2).sum()) * (b @ b)
+        return keep.sum(), ((a.T @ b) ** 2).sum() / under if under > 1e-9 else 0.0
+
+    for by in ([], ["g"]):
+        got = {(*[r[g] for g in by], r["feature"]): (r["n"], r["cka_to_embedding"]) for r in feature_similarity(df, xs, ys, by).collect()}
+        want = {}
+        for key in [()] if not by else [(int(g),) for g in np.unique(group)]:
+            rows = group == key[0] if key else np.ones(n, dtype=bool)
+            for k in range(m):
+                count, score = plain(rows, k)
+                if count:
+                    want[(*key, ys[k])] = (count, score)
+        assert set(got) == set(want)
+        for key, (count, score) in want.items():
+            assert got[key][0] == count and abs(got[key][1] - score) < 1e-8, key
+
+
+def test_partial_sums_do_not_grow_with_the_rows(spark):
+    from burstseries.operators.gram import packed_sums
+
+    rows = spark.range(20_000).select((F.col("id") % 3).alias("__gid"), F.array(F.rand(1), F.rand(2)).alias("x")).repartition(4)
+    got = packed_sums(rows, 2).collect()
+    assert len(got) == 3 and all(len(r["cells"]) == 3 for r in got)
