@@ -203,6 +203,23 @@ def _close(a: str, b: str, share: int) -> Column:
     return sizes & (_distance(a, b) <= MAX_DISTANCE) & ((100 + share) * both >= share * (x + y))
 
 
+def _first_shared(a: str, b: str) -> Column:
+    """The key the two rows meet under is the first one that their signatures share.
+
+    ``place`` is the number of the key and ``left`` the symbol it leaves out. No earlier chunk may have at most one
+    differing symbol; within the chunk, one that does not differ at all counts for its first place only.
+    """
+    close = None
+    for i, c in enumerate(CHUNK_NAMES):
+        marks = (F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")) + F.lit(_FILL)).bitwiseAND(F.lit(_GUARD))
+        bit = F.shiftleft((F.bit_count(marks) <= 1).cast("int"), i)
+        close = bit if close is None else close.bitwiseOR(bit)
+    chunk = F.shiftright(f"{a}.place", 2)
+    earlier = close.bitwiseAND(F.call_function("shiftleft", F.lit(1), chunk) - 1)
+    first = (F.col(f"{a}.place") % PLACES == 0) | (F.col(f"{a}.left") != F.col(f"{b}.left"))
+    return (earlier == 0) & first
+
+
 def near_duplicates(docs: DataFrame, *, n: int = 3, share: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
 
@@ -240,10 +257,15 @@ def near_duplicates(docs: DataFrame, *, n: int = 3, share: int = 85) -> DataFram
     keyed = stored(keyed, "near-keyed")
     apart = keyed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
     rest = keyed.join(stored(apart, "near-apart"), "key", "left_semi").join(parts, "id")
-    rest = stored(rest.select("key", "id", "pivot", "label", "n_shingles", *CHUNK_NAMES, "spare", *RANGE_NAMES), "near-rest")
+    place = F.shiftright("key", 3 * BITS).cast("int")
+    chunk = F.get(F.array(*CHUNK_NAMES), F.shiftright(place, 2))
+    left = F.call_function("shiftright", chunk, FIELD * (place % PLACES)).bitwiseAND(F.lit((1 << BITS) - 1))
+    rest = rest.withColumns({"place": place, "left": left})
+    rest = stored(rest.select("key", "place", "left", "id", "pivot", "label", "n_shingles", *CHUNK_NAMES, "spare", *RANGE_NAMES), "near-rest")
     x, y = rest.alias("x"), rest.alias("y")
     cond = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label"))
-    cond &= (F.col("x.id") != F.col("x.pivot")) & _close("x", "y", share)
+    # a pair that shares several keys comes out of the first alone, where the pivot has met all others
+    cond &= (F.col("x.id") != F.col("x.pivot")) & _first_shared("x", "y") & _close("x", "y", share)
     more = x.join(y, cond).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     late = stored(confirm(stored(more, "near-more"), sets, share), "near-late-links")
     if not late.isEmpty():
