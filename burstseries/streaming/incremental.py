@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
+from burstseries.functions.ordered import join_on
 from burstseries.session import fresh_path
 
 
@@ -44,78 +45,152 @@ def gap_sessions(events: DataFrame, keys: Sequence[str], ts: str, value: str, ga
     )
 
 
+class _LastBurst(StatefulProcessor):
+    """Per key the last active bin, and a timer that forgets it after ``idle_seconds`` without one."""
+
+    def __init__(self, names: Sequence[str], bin_seconds: int, threshold: float, idle_seconds: int | None):
+        self.names, self.bin_seconds, self.threshold, self.idle = list(names), bin_seconds, threshold, idle_seconds
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "bin long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last = self.last.get()[0] if self.last.exists() else None
+        before, out = last, []
+        sums = pd.concat(list(rows)).sort_values("bin")
+        for b, v in zip(sums["bin"].tolist(), sums["value"].tolist(), strict=True):
+            if v is not None and v >= self.threshold:
+                out.append((*key, b, v, 0 if last is None else b - last))
+                last = b
+        if last != before:
+            self.last.update((last,))
+            if self.idle is not None:
+                self.handle.registerTimer((last + 1) * self.bin_seconds * 1000 + self.idle * 1000)
+        yield pd.DataFrame(out, columns=self.names)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # timers of earlier bursts are still set: only that of the last one clears
+        mine = None if not self.last.exists() else ((self.last.get()[0] + 1) * self.bin_seconds + self.idle) * 1000
+        if mine is not None and mine <= expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()
+        yield pd.DataFrame([], columns=self.names)
+
+    def close(self) -> None:
+        pass
+
+
+def bin_sums(events: DataFrame, keys: Sequence[str], ts: str, value: str, bin_seconds: int, delay: str) -> DataFrame:
+    """``(key, bin, value)`` once the watermark has passed a bin's end; partial sums, no Python."""
+    windows = events.withWatermark(ts, delay).groupBy(*keys, F.window(ts, f"{bin_seconds} seconds").alias("w"))
+    sums = windows.agg(F.sum(F.col(value).cast("double")).alias("value"))
+    return sums.select(*keys, _bin_of("w.start", bin_seconds).alias("bin"), "value")
+
+
+def _bin_of(start: str, bin_seconds: int) -> Column:
+    return F.floor(F.unix_seconds(start) / F.lit(bin_seconds)).cast("long")
+
+
 def burst_stream(
-    events: DataFrame, keys: Sequence[str], ts: str, value: str, bin_seconds: int, threshold: float, delay: str
+    events: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    value: str,
+    bin_seconds: int,
+    threshold: float,
+    delay: str,
+    idle_seconds: int | None = None,
 ) -> DataFrame:
     """Burst rows ``(key, bin, bi, ibg)`` as bins close.
 
-    Bin sums are held per key until the watermark has passed their end; the state is the open bins
-    and the last active bin, so it does not grow with the length of the stream.
+    Only bin sums, one row per key and bin, reach the stateful step, whose state is one number per key. With
+    ``idle_seconds`` a key without a burst for so long is forgotten, and its next burst has no gap; without, gaps
+    are those of the batch form however long they are. Needs the RocksDB state store (``run`` sets it).
     """
-    keys = list(keys)
-    at = F.floor(F.unix_micros(F.col(ts)) / F.lit(1_000_000 * bin_seconds)).cast("long")
-    rows = events.withWatermark(ts, delay).select(
-        *keys, F.col(ts).alias("ts"), at.alias("bin"), F.col(value).cast("double").alias("value")
-    )
-    key_fields = [rows.schema[k] for k in keys]
-    out_schema = T.StructType(
-        [
-            *key_fields,
-            T.StructField("bin", T.LongType()),
-            T.StructField("bi", T.DoubleType()),
-            T.StructField("ibg", T.LongType()),
-        ]
-    )
-    state_schema = T.StructType(
-        [
-            T.StructField("last", T.LongType()),
-            T.StructField("bins", T.ArrayType(T.LongType())),
-            T.StructField("sums", T.ArrayType(T.DoubleType())),
-        ]
-    )
-    names = [f.name for f in out_schema]
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, open_bins = -1, {}
-        if state.exists:
-            last, bins, sums = state.get
-            open_bins = dict(zip(bins, sums, strict=True))
-        for frame in frames:
-            for b, v in frame.groupby("bin")["value"].sum().items():
-                open_bins[int(b)] = open_bins.get(int(b), 0.0) + float(v)
-        mark = state.getCurrentWatermarkMs()
-        closed = sorted(b for b in open_bins if (b + 1) * bin_seconds * 1000 <= mark)
-        rows_out = []
-        for b in closed:
-            total = open_bins.pop(b)
-            if total >= threshold:
-                rows_out.append((*key, b, total, b - last if last >= 0 else 0))
-                last = b
-        if open_bins:
-            left = sorted(open_bins)
-            state.update((last, left, [open_bins[b] for b in left]))
-            due = max((left[0] + 1) * bin_seconds * 1000, mark + 1)
-            state.setTimeoutTimestamp(due)
-        else:
-            state.update((last, [], []))
-        if rows_out:
-            yield pd.DataFrame(rows_out, columns=names)
+    sums = bin_sums(events, keys, ts, value, bin_seconds, delay)
+    fields = [sums.schema[k] for k in keys]
+    out = T.StructType([*fields, *(T.StructField(n, t) for n, t in (("bin", T.LongType()), ("bi", T.DoubleType()), ("ibg", T.LongType())))])
+    step = _LastBurst(out.names, bin_seconds, threshold, idle_seconds)
+    return sums.groupBy(*keys).transformWithStateInPandas(step, out, "Append", "EventTime")
 
-    return rows.groupBy(*keys).applyInPandasWithState(
-        step, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout
-    )
+
+# ---- running over what is there, with a closing pass over open state ------------------------
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def run_to_table(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now into a Parquet table of the shared folder and read it."""
+def run(stream: DataFrame, spark: SparkSession, name: str) -> str:
+    """Run a stream over what is there now; the folder with its rows (``data``) and state (``state``)."""
     path = fresh_path(spark, name)
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", f"{path}/data")
-        .option("checkpointLocation", f"{path}/state")
-        .outputMode(mode)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        query = (
+            stream.writeStream.format("parquet")
+            .option("path", f"{path}/data")
+            .option("checkpointLocation", f"{path}/state")
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(STORE)
+        else:
+            spark.conf.set(STORE, before)
+    return path
+
+
+def closed_rows(stream: DataFrame, spark: SparkSession, path: str) -> DataFrame:
+    """What the watermark has closed."""
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
+
+
+def open_rows(spark: SparkSession, path: str, operator: int = 0, variable: str | None = None) -> DataFrame:
+    """``(key, value)``: what a stateful step of a finished run still holds, read from its state store."""
+    reader = spark.read.format("statestore").option("operatorId", operator)
+    if variable:
+        reader = reader.option("stateVarName", variable)
+    return reader.load(f"{path}/state")
+
+
+def all_tumbling_sums(events: DataFrame, keys: Sequence[str], ts: str, value: str, window: str, delay: str) -> DataFrame:
+    """``tumbling_sums`` over what is there now, open windows included: the rows of the batch form."""
+    spark, stream = events.sparkSession, tumbling_sums(events, keys, ts, value, window, delay)
+    path = run(stream, spark, "stream-windows")
+    held = [F.col(f"key.{k}").alias(k) for k in keys]
+    rest = open_rows(spark, path).select(*held, F.col("key.window.start").alias("window_start"), F.col("value.sum").alias("sum_value"), F.col("value.count").alias("n"))
+    return closed_rows(stream, spark, path).unionByName(rest)
+
+
+def all_gap_sessions(events: DataFrame, keys: Sequence[str], ts: str, value: str, gap_seconds: int, delay: str) -> DataFrame:
+    """``gap_sessions`` over what is there now, open sessions included: the rows of the batch form."""
+    spark, stream = events.sparkSession, gap_sessions(events, keys, ts, value, gap_seconds, delay)
+    path = run(stream, spark, "stream-sessions")
+    v = F.col("value")
+    rest = open_rows(spark, path).select(
+        *[F.col(f"key.{k}").alias(k) for k in keys],
+        v["session_window"]["start"].alias("session_start"),
+        (v["session_window"]["end"] - F.expr(f"make_dt_interval(0, 0, 0, {gap_seconds})")).alias("session_last"),
+        v["count"].alias("n_events"),
+        v["sum"].alias("sum_value"),
+    )
+    return closed_rows(stream, spark, path).unionByName(rest)
+
+
+def all_bursts(events: DataFrame, keys: Sequence[str], ts: str, value: str, bin_seconds: int, threshold: float, delay: str) -> DataFrame:
+    """``burst_stream`` over what is there now, open bins included: the rows of the batch form.
+
+    A key has as many open bins as the watermark's delay holds, so the window over them is bounded.
+    """
+    spark, stream = events.sparkSession, burst_stream(events, keys, ts, value, bin_seconds, threshold, delay)
+    path = run(stream, spark, "stream-bursts")
+    held = [F.col(f"key.{k}").alias(k) for k in keys]
+    bins = open_rows(spark, path, 1).select(*held, _bin_of("key.window.start", bin_seconds).alias("bin"), F.col("value.sum").alias("bi"))
+    last = open_rows(spark, path, 0, "last").select(*held, F.col("value.bin").alias("last"))
+    mine = join_on(bins.filter(F.col("bi") >= threshold), last, list(keys), "left")
+    previous = F.lag("bin").over(Window.partitionBy(*keys).orderBy("bin"))
+    rest = mine.withColumn("ibg", F.coalesce(F.col("bin") - F.coalesce(previous, F.col("last")), F.lit(0).cast("long"))).drop("last")
+    return closed_rows(stream, spark, path).unionByName(rest.select(*stream.columns))

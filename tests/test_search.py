@@ -293,14 +293,35 @@ def test_streams_equal_batches_over_several_files(spark, tmp_path):
         part = spark.createDataFrame(rows[n * 50 : (n + 1) * 50], "k string, s long, v double").withColumn("ts", F.timestamp_seconds("s"))
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("k string, s long, v double, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = ST.run_to_table(ST.burst_stream(stream, ["k"], "ts", "v", 300, 3.0, "2 hours"), spark, "t-bursts")
-    mark = max(r[1] for r in rows) - 7200
     df = spark.createDataFrame(rows, "k string, s long, v double")
     bins = df.groupBy("k", F.floor(F.col("s") / 300).cast("long").alias("bin")).agg(F.sum("v").alias("v"))
-    want = B.burst_rows(bins, ["k"], "v", threshold=3.0).filter((F.col("bin") + 1) * 300 <= mark)
-    assert sorted(map(tuple, got.select("k", "bin", "bi", "ibg").collect())) == sorted(
-        map(tuple, want.select("k", "bin", "bi", "ibg").collect())
-    )
+    want = B.burst_rows(bins, ["k"], "v", threshold=3.0).select("k", "bin", "bi", "ibg").collect()
+    got = ST.all_bursts(stream, ["k"], "ts", "v", 300, 3.0, "2 hours")
+    assert sorted(map(tuple, got.select("k", "bin", "bi", "ibg").collect())) == sorted(map(tuple, want))
+    got = ST.all_tumbling_sums(stream, ["k"], "ts", "v", "10 minutes", "2 hours").select("k", F.unix_seconds("window_start"), "sum_value", "n")
+    sums = df.groupBy("k", (F.floor(F.col("s") / 600) * 600).alias("w")).agg(F.sum("v"), F.count("*"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, sums.collect()))
+    got = ST.all_gap_sessions(stream, ["k"], "ts", "v", 1800, "2 hours").select("k", F.unix_seconds("session_start"), F.unix_seconds("session_last"), "n_events", "sum_value")
+    sessions = []
+    for k in ("a", "b"):
+        mine = sorted(r for r in rows if r[0] == k)
+        cuts = [0, *[i for i in range(1, len(mine)) if mine[i][1] - mine[i - 1][1] > 1800], len(mine)]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            part = mine[x:y]
+            sessions.append((k, part[0][1], part[-1][1], len(part), sum(p[2] for p in part)))
+    assert sorted(map(tuple, got.collect())) == sorted(sessions)
+
+
+def test_idle_keys_are_forgotten_by_a_timer(spark, tmp_path):
+    """The key's state goes once the watermark is an hour past its last bin, so its next burst has no gap."""
+    spots = [("a", 0), ("a", 600), ("b", 9_000), ("b", 20_000), ("a", 20_500), ("b", 60_000)]
+    for n, (k, at) in enumerate(spots):
+        part = spark.createDataFrame([(k, 1_700_000_100 + at, 5.0)], "k string, s long, v double").withColumn("ts", F.timestamp_seconds("s"))
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k string, s long, v double, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = ST.burst_stream(stream, ["k"], "ts", "v", 300, 3.0, "0 seconds", idle_seconds=3600)
+    got = ST.closed_rows(out, spark, ST.run(out, spark, "t-idle")).orderBy("k", "bin").collect()
+    assert [(r["k"], r["ibg"]) for r in got] == [("a", 0), ("a", 2), ("a", 0), ("b", 0), ("b", 0)]
 
 
 def test_workflows_end_to_end(spark, tmp_path):
