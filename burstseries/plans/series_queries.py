@@ -13,6 +13,7 @@ from burstseries.operators import tokens as T
 from burstseries.plans import inputs as src
 from burstseries.plans.registry import query
 from burstseries.plans.traffic import PINGS, ping_samples
+from burstseries.session import cut_lineage
 
 # ---- dense series -------------------------------------------------------------------------
 
@@ -461,6 +462,37 @@ def quantile_levels_sketch(spark, sf):
     return Q.quantile_rows(Q.item_quantiles(_items(spark, sf), "a", ["entity_type"]), ["entity_type"])
 
 
+def _day_sketches(spark, sf):
+    """Sketches of the values per kind of event and day, stored."""
+    ev = src.table(spark, sf, "events").select("event_type", F.to_date("ts").alias("day"), "value")
+    return ev, cut_lineage(Q.value_sketches(ev, ["event_type", "day"], "value"), "day-sketches")
+
+
+@query(
+    "sketch_rank_check",
+    """WITH l AS (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95, 0.99]::DOUBLE[]) AS level)
+    SELECT event_type, level, count(*) AS n, TRUE AS within_one_percent FROM events, l WHERE value IS NOT NULL GROUP BY ALL""",
+)
+def sketch_rank_check(spark, sf):
+    """Quantiles of all days from the days' stored sketches: every rank is within one percent of its level."""
+    ev, days = _day_sketches(spark, sf)
+    table = Q.sketch_quantiles(Q.merged_sketches(days, ["event_type"]), [0.05, 0.25, 0.5, 0.75, 0.95, 0.99])
+    got = Q.rank_errors(table, ev, ["event_type"], "value")
+    return got.select("event_type", "level", "n", (F.col("error") <= 0.01).alias("within_one_percent"))
+
+
+@query(
+    "sketch_days",
+    """SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(value) AS n, min(value) AS lowest, max(value) AS highest
+    FROM events GROUP BY ALL""",
+)
+def sketch_days(spark, sf):
+    """What the stored sketch of each day knows exactly: how many values, the smallest and the largest."""
+    _, days = _day_sketches(spark, sf)
+    ends = Q.sketch_quantiles(days, [0.0, 1.0])
+    return ends.select("event_type", F.col("day").cast("string").alias("day"), "n", F.get("quantiles", F.lit(0)).alias("lowest"), F.get("quantiles", F.lit(1)).alias("highest"))
+
+
 @query(
     "threshold_interp",
     f"""WITH {ITEMS}, q AS (SELECT entity_type, quantile_cont(v, [0.9, 0.95, 0.99, 1.0]) AS q FROM items GROUP BY entity_type)

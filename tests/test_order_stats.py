@@ -151,3 +151,21 @@ def test_partial_sums_do_not_grow_with_the_rows(spark):
     rows = spark.range(20_000).select((F.col("id") % 3).alias("__gid"), F.array(F.rand(1), F.rand(2)).alias("x")).repartition(4)
     got = packed_sums(rows, 2).collect()
     assert len(got) == 3 and all(len(r["cells"]) == 3 for r in got)
+
+
+def test_stored_sketches_of_days_merge(spark):
+    """Sketches per day, merged for a range of days, against the values; a key with 90 % of the rows and one with none."""
+    from burstseries.operators import quantiles as Q
+
+    rng = np.random.default_rng(21)
+    rows = [("hot" if rng.random() < 0.9 else "small", int(rng.integers(0, 30)), float(v)) for v in rng.lognormal(0, 3, 20_000)] + [("none", 3, None)]
+    df = spark.createDataFrame(rows, "g string, day int, v double")
+    days = Q.value_sketches(df, ["g", "day"], "v")
+    some = Q.merged_sketches(days.filter("day < 10"), ["g"])
+    table = Q.sketch_quantiles(some, [0.01, 0.5, 0.9, 0.999])
+    errors = Q.rank_errors(table, df.filter("day < 10"), ["g"], "v").collect()
+    assert len(errors) == 8 and max(r["error"] for r in errors) < 0.01
+    for g in ("hot", "small"):
+        assert {r["n"] for r in errors if r["g"] == g} == {sum(1 for a, d, v in rows if a == g and d < 10)}
+    none = [r for r in table.collect() if r["g"] == "none"][0]
+    assert none["n"] == 0 and none["quantiles"] == [None] * 4
