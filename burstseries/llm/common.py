@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burstseries.session import fresh_path
+from burstseries.session import _WRITTEN, fresh_path
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,6 +34,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     path = fresh_path(spark, name)
+    _WRITTEN.setdefault(id(spark._jsparkSession), []).append(path)  # drop_scratch deletes what is still there
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:

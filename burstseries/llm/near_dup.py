@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burstseries.llm.common import Words, gram_hashes, list_array, mix, signed, stored, text_pieces
+from burstseries.llm.common import Words, discard, gram_hashes, list_array, mix, signed, stored, text_pieces
 from burstseries.llm.components import component_labels
 from burstseries.llm.registry import query, table
 
@@ -228,48 +228,55 @@ def near_duplicates(docs: DataFrame, *, n: int = 3, share: int = 85) -> DataFram
     documents: rows with one id and different texts are one document of several texts, and the component
     of the id is that of all of them.
     """
+    spent: list[DataFrame] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        spent.append(stored(df, name))
+        return spent[-1]
+
     sig = stored(signatures(docs, n), "near-signatures")
     linked = sig.filter("n_shingles > 0 and doc_id is not null")
     first = linked.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("id"))
-    first = stored(first, "near-classes")
-    member = stored(linked.join(first, ["n_shingles", "f1", "f2"]), "near-members")
+    first = keep(first, "near-classes")
+    member = keep(linked.join(first, ["n_shingles", "f1", "f2"]), "near-members")
     copies = member.filter(F.col("doc_id") != F.col("id")).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     reps = member.filter(F.col("doc_id") == F.col("id")).select("id", "n_shingles", *CHUNK_NAMES)
-    reps = stored(reps.dropDuplicates(["id", "n_shingles", *CHUNK_NAMES]), "near-representatives")
+    reps = keep(reps.dropDuplicates(["id", "n_shingles", *CHUNK_NAMES]), "near-representatives")
 
     keys = index_keys(reps)
     pivots = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).filter("pivot < top")
-    shared = stored(keys.join(stored(pivots.select("key", "pivot"), "near-pivots"), "key"), "near-keys")
+    shared = keep(keys.join(keep(pivots.select("key", "pivot"), "near-pivots"), "key"), "near-keys")
     star = shared.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    sets = candidate_sets(stored(shared.select("id").distinct(), "near-candidates"), docs, n)
+    sets = candidate_sets(keep(shared.select("id").distinct(), "near-candidates"), docs, n)
     # an id with several texts gets all combinations; the pairs that are wanted are among them
     ranges = sum((F.bit_count(b) for b in RANGE_NAMES), F.lit(0))
     parts = reps.join(sets.select("id", *RANGE_NAMES, (F.size("grams") - ranges).alias("spare")), "id")
-    parts = stored(parts, "near-parts")
+    parts = keep(parts, "near-parts")
     star = star.join(parts.alias("x"), F.col("a") == F.col("x.id")).join(parts.alias("y"), F.col("b") == F.col("y.id"))
-    star = stored(star.filter(_close("x", "y", share)).select("a", "b").distinct(), "near-star")
-    links = stored(confirm(star, sets, share), "near-links")
+    star = keep(star.filter(_close("x", "y", share)).select("a", "b").distinct(), "near-star")
+    links = keep(confirm(star, sets, share), "near-links")
     labels = component_labels(links.unionByName(copies))
 
     # keys whose members are still apart: join them between components
     label = labels.withColumnsRenamed({"v": "id"})
     keyed = shared.join(label, "id", "left").select("key", "id", "pivot", F.coalesce("label", "id").alias("label"))
-    keyed = stored(keyed, "near-keyed")
+    keyed = keep(keyed, "near-keyed")
     apart = keyed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-    rest = keyed.join(stored(apart, "near-apart"), "key", "left_semi").join(parts, "id")
+    rest = keyed.join(keep(apart, "near-apart"), "key", "left_semi").join(parts, "id")
     place = F.shiftright("key", 3 * BITS).cast("int")
     chunk = F.get(F.array(*CHUNK_NAMES), F.shiftright(place, 2))
     left = F.call_function("shiftright", chunk, FIELD * (place % PLACES)).bitwiseAND(F.lit((1 << BITS) - 1))
     rest = rest.withColumns({"place": place, "left": left})
-    rest = stored(rest.select("key", "place", "left", "id", "pivot", "label", "n_shingles", *CHUNK_NAMES, "spare", *RANGE_NAMES), "near-rest")
+    rest = keep(rest.select("key", "place", "left", "id", "pivot", "label", "n_shingles", *CHUNK_NAMES, "spare", *RANGE_NAMES), "near-rest")
     x, y = rest.alias("x"), rest.alias("y")
     cond = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label"))
     # a pair that shares several keys comes out of the first alone, where the pivot has met all others
     cond &= (F.col("x.id") != F.col("x.pivot")) & _first_shared("x", "y") & _close("x", "y", share)
     more = x.join(y, cond).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    late = stored(confirm(stored(more, "near-more"), sets, share), "near-late-links")
+    late = keep(confirm(keep(more, "near-more"), sets, share), "near-late-links")
     if not late.isEmpty():
         labels = component_labels(links.unionByName(copies).unionByName(late))
+    discard(*spent, sets)  # the result reads the signatures and the labels
     out = sig.join(labels, sig["doc_id"] == labels["v"], "left")
     component = F.coalesce(F.when(F.col("n_shingles") > 0, F.col("label")), F.col("doc_id"))
     kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
