@@ -33,6 +33,12 @@ def complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.filter(~F.exists(packed, lambda x: x.isNull() | F.isnan(x)))
 
 
+def rows_with_a_number(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows in which at least one listed column is a number."""
+    packed = F.array(*[F.col(f"`{c}`").cast("double") for c in columns])
+    return df.filter(F.exists(packed, lambda x: x.isNotNull() & ~F.isnan(x)))
+
+
 def vector_means(vectors: DataFrame, group: Sequence[str], vector: str) -> DataFrame:
     """Count and mean vector per group; a group is spread over its dimensions."""
     long = vectors.select(*group, F.posexplode(vector).alias("dim", "__x"))

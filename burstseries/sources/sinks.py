@@ -19,14 +19,15 @@ def safe_id(column: str):
     return F.regexp_replace(F.col(column).cast("string"), r"[^A-Za-z0-9._-]", "_")
 
 
-def write_per_cluster(df: DataFrame, path: str, cluster: str, fmt: str = "csv", writers: int = 8) -> None:
-    """One folder per cluster, of at most ``writers`` files unless Spark splits further.
+def write_per_cluster(df: DataFrame, path: str, cluster: str, fmt: str = "csv") -> None:
+    """One folder per cluster, with as many files as its size asks for.
 
-    Rows are brought together by (cluster, the partition they come from modulo ``writers``), so not every
-    task opens a file in every folder and a large cluster has several writers.
+    Rows are brought together by cluster, so not every task opens a file in every folder. The rebalance hint lets
+    adaptive execution split a large cluster into parts of the advisory partition size, each with a writer of
+    its own, and put small clusters into one task.
     """
-    out = df.withColumn("cluster", safe_id(cluster)).withColumn("__writer", F.spark_partition_id() % writers)
-    writer = out.repartition("cluster", "__writer").drop("__writer").write.mode("overwrite").partitionBy("cluster")
+    out = df.withColumn("cluster", safe_id(cluster)).hint("rebalance", F.col("cluster"))
+    writer = out.write.mode("overwrite").partitionBy("cluster")
     if fmt == "csv":
         writer = writer.option("header", "true")
     writer.format(fmt).save(path)

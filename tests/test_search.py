@@ -225,10 +225,13 @@ def test_files_round_trip(spark, tmp_path):
     assert {(r["source_file"], r["count"]) for r in two.groupBy("source_file").count().collect()} == {("one", 2), ("two", 2)}
     sinks.write_per_cluster(df.withColumnRenamed("cluster", "c"), f"{root}/per", "c")
     assert {p.name for p in (tmp_path / "per").iterdir() if p.is_dir()} == {"cluster=a", "cluster=b_c"}
-    many = spark.range(4000).repartition(24).withColumn("c", (F.col("id") % 3).cast("string"))
-    sinks.write_per_cluster(many, f"{root}/many", "c", "json", writers=4)
-    assert spark.read.json(f"{root}/many").select("id").distinct().count() == 4000
-    assert all(len(list(p.glob("part-*"))) <= 4 for p in (tmp_path / "many").glob("cluster=*"))
+    many = spark.range(60_000).repartition(24).withColumn("c", F.when(F.col("id") % 10 > 0, "hot").otherwise((F.col("id") % 3).cast("string")))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64KB")
+    sinks.write_per_cluster(many, f"{root}/many", "c", "json")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64MB")
+    assert spark.read.json(f"{root}/many").select("id").distinct().count() == 60_000
+    parts = {p.name: len(list(p.glob("part-*"))) for p in (tmp_path / "many").glob("cluster=*")}
+    assert parts["cluster=hot"] >= 3 and sum(parts.values()) < 24, parts  # of 24 tasks, each with all clusters
     sinks.write_result(df, f"{root}/r.json", "json")
     assert files.scan_table(spark, f"{root}/r.json").count() == 2
 
