@@ -271,7 +271,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 3, share: int = 85) -> DataFram
     x, y = rest.alias("x"), rest.alias("y")
     cond = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label"))
     # a pair that shares several keys comes out of the first alone, where the pivot has met all others
-    cond &= (F.col("x.id") != F.col("x.pivot")) & _first_shared("x", "y") & _close("x", "y", share)
+    cond &= (F.col("x.id") != F.col("x.pivot")) & _close("x", "y", share) & _first_shared("x", "y")
     more = x.join(y, cond).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     late = keep(confirm(keep(more, "near-more"), sets, share), "near-late-links")
     if not late.isEmpty():
