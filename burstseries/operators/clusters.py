@@ -143,11 +143,23 @@ def _cells(points: DataFrame, eps: float, block_rows: int) -> DataFrame:
     )
 
 
-def _pair_distances(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    x = np.stack([np.asarray(v, dtype=float) for v in part["v"]])
-    sq = (x * x).sum(1)
-    d = sq[:, None] + sq[None, :] - 2 * x @ x.T
-    return np.sqrt(np.clip(d, 0, None)), part["first"].to_numpy()
+STRIPE = 128  # rows of a block pair whose distances are held at once
+
+
+class _Near:
+    """Which rows of a block pair lie within ``eps`` of some of its rows, never as a table of all pairs."""
+
+    def __init__(self, vectors: pd.Series, eps: float):
+        self.x = np.stack([np.asarray(v, dtype=float) for v in vectors])
+        self.sq, self.eps = (self.x * self.x).sum(1), eps
+
+    def __call__(self, rows: np.ndarray) -> np.ndarray:
+        d = self.sq[rows, None] + self.sq[None, :] - 2 * self.x[rows] @ self.x.T
+        return np.sqrt(np.clip(d, 0, None)) <= self.eps
+
+    def stripes(self, rows: np.ndarray):
+        for start in range(0, len(rows), STRIPE):
+            yield rows[start : start + STRIPE]
 
 
 def density_labels(
@@ -180,20 +192,22 @@ def density_labels(
     cells = cut_lineage(_cells(points, eps, block_rows), "cells")
 
     def count(part: pd.DataFrame) -> pd.DataFrame:
-        d, first = _pair_distances(part)
+        near, first, w = _Near(part["v"], eps), part["first"].to_numpy(), part["w"].to_numpy()
         inside = part["lo"].iloc[0] == part["hi"].iloc[0]
-        near = d <= eps
-        if not inside:
-            near &= first[:, None] != first[None, :]
-        return pd.DataFrame({"id": part["id"], "c": near @ part["w"].to_numpy()})
+        c = np.zeros(len(part), dtype=np.int64)
+        for rows in near.stripes(np.arange(len(part))):
+            some = near(rows)
+            if not inside:
+                some &= first[rows, None] != first[None, :]
+            c[rows] = some @ w
+        return pd.DataFrame({"id": part["id"], "c": c})
 
     counts = cells.groupBy("lo", "hi").applyInPandas(count, "id string, c long")
     core = counts.groupBy("id").agg((F.sum("c") >= min_samples).alias("core"))
     known = cut_lineage(join_on(cells, core, ["id"]), "core-cells")
 
     def links(part: pd.DataFrame) -> pd.DataFrame:
-        d, _ = _pair_distances(part)
-        near, is_core, name = d <= eps, part["core"].to_numpy(dtype=bool), part["id"].to_numpy()
+        near, is_core, name = _Near(part["v"], eps), part["core"].to_numpy(dtype=bool), part["id"].to_numpy()
         at = np.flatnonzero(is_core)
         at = at[np.argsort(name[at])]
         seen = np.zeros(len(part), dtype=bool)
@@ -205,12 +219,15 @@ def density_labels(
             frontier = np.array([start])
             while len(frontier):
                 rows += [(name[i], name[start], True) for i in frontier]
-                frontier = np.flatnonzero(near[frontier].any(0) & is_core & ~seen)
+                beside = np.zeros(len(part), dtype=bool)
+                for some in near.stripes(frontier):
+                    beside |= near(some).any(0)
+                frontier = np.flatnonzero(beside & is_core & ~seen)
                 seen[frontier] = True
-        for i in np.flatnonzero(~is_core):
-            beside = at[near[i, at]]
-            if len(beside):
-                rows.append((name[i], name[beside[0]], False))
+        for some in near.stripes(np.flatnonzero(~is_core)):
+            for i, row in zip(some, near(some)[:, at], strict=True):
+                if row.any():
+                    rows.append((name[i], name[at[row.argmax()]], False))
         return pd.DataFrame(rows, columns=["id", "to", "core"])
 
     edges = cut_lineage(

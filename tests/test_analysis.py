@@ -297,3 +297,22 @@ def test_similarity_drops_rows_per_feature(spark):
     assert abs(got["a"]["cka_to_embedding"] - alone["cka_to_embedding"]) < 1e-12
     half = feature_similarity(df.filter("b is not null"), ["x1", "x2"], ["b"]).first()
     assert abs(got["b"]["cka_to_embedding"] - half["cka_to_embedding"]) < 1e-12
+
+
+def test_near_rows_take_room_for_a_stripe_only():
+    """Neighbours within eps in a block pair of 4,000 rows, without a table of all pairs."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    x = rng.random((4000, 2))
+    tracemalloc.start()
+    near = C._Near(pd.Series(list(x)), 0.1)
+    counts = np.concatenate([near(rows).sum(1) for rows in near.stripes(np.arange(len(x)))])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40_000_000  # 16 million distances would take 128 MB
+    some = rng.integers(0, 4000, 20)
+    assert [(np.hypot(*(x - x[i]).T) <= 0.1).sum() for i in some] == counts[some].tolist()
