@@ -69,6 +69,7 @@ def unit_vectors(df: DataFrame, vector: str) -> DataFrame:
 
 
 BROADCAST_BYTES = 64 * 1024 * 1024
+CELL_BYTES = 16 * 1024 * 1024  # vectors of one side of a cell
 
 
 def _pick(score: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
@@ -141,10 +142,16 @@ def _cell_top_k(
     schema,
     block_rows: int,
 ) -> DataFrame:
-    """Many queries: both sides are cut into blocks inside each group and every block pair is one cell."""
+    """Many queries: both sides are cut into cells inside each group and every pair of them is one task's work.
+
+    A cell holds as many blocks of ``block_rows`` rows as ``CELL_BYTES`` have room for, at least one: every row is
+    sent once per cell of the other side, so small blocks must not multiply what is shuffled.
+    """
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
+        fit = F.floor(F.lit(CELL_BYTES / 8) / F.greatest(F.max(F.size(vector)), F.lit(1)) / block_rows)
+        rows = F.greatest(fit, F.lit(1)) * block_rows
+        return df.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
 
     sizes = join_on(blocks(queries, "__nq"), blocks(base, "__nb"), group)
     own_q = F.pmod(hash32([query_id], "q"), F.col("__nq")).cast("int")
@@ -171,8 +178,8 @@ def _cell_top_k(
             return pd.DataFrame({c: [] for c in columns})
         names, right_m, left_m = b[base_id].to_numpy(), _matrix(b[vector]), _matrix(q[vector])
         out = []
-        for start in range(0, len(q), 256):
-            for row in left_m[start : start + 256] @ right_m.T:
+        for start in range(0, len(q), 64):
+            for row in left_m[start : start + 64] @ right_m.T:
                 pick = _pick(row, names, k)
                 out.append((names[pick], row[pick]))
         return pd.DataFrame(

@@ -361,3 +361,30 @@ def test_workflows_end_to_end(spark, tmp_path):
     workflows.evaluate_retrieval(reps, named, str(tmp_path / "search"), n_eval=3, fraction=None, n_lists=3, n_probe=2, top_k=2)
     rep = spark.read.parquet(str(tmp_path / "search" / "sanity")).first()
     assert rep["n_queries"] == 3 and rep["n_rows"] == 6 and rep["missing_eval_series"] == 0
+
+
+def test_small_blocks_share_a_cell(spark):
+    """Blocks of two rows do not send each row once per block of the other side; the result is the broadcast form's."""
+    from pyspark.sql import functions as F
+
+    from burstseries.operators.retrieval import block_top_k
+
+    v = F.array(*[F.sin(F.col("id") * (i + 1)) for i in range(4)]).alias("vector")
+    queries = spark.range(30).select(F.col("id").alias("query_id"), v)
+    base = spark.range(100, 200).select(F.col("id").alias("base_id"), v)
+    sent = block_top_k(queries, base, 3, block_rows=2, broadcast_bytes=0)
+    want = block_top_k(queries, base, 3)
+    cols = ["query_id", "rank", "base_id"]
+    assert sorted(map(tuple, sent.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+    from burstseries.operators import retrieval
+
+    one = [d.withColumn("__g", F.lit(0)) for d in (queries, base)]
+    found = retrieval._cell_top_k(*one, 3, ["__g"], "query_id", "base_id", "vector", _cell_schema(), 2)
+    assert found.count() == 30 * 3
+
+
+def _cell_schema():
+    from pyspark.sql import types as T
+
+    kinds = {"__g": T.IntegerType(), "query_id": T.LongType(), "base_id": T.LongType(), "score": T.DoubleType()}
+    return T.StructType([T.StructField(n, k) for n, k in kinds.items()])
