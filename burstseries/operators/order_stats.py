@@ -34,7 +34,12 @@ def _within(ranks: Column, below: Column, rows: Column) -> Column:
 
 
 def values_at_group_ranks(values: DataFrame, groups: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(k, rank, value) for ``values`` (k, v) and ``groups`` (k, lo, hi, m, ranks): 0-based ranks of each k's sorted values."""
+    """(k, rank, value) for ``values`` (k, v, w) and ``groups`` (k, lo, hi, m, ranks): 0-based ranks of each k's sorted values.
+
+    A row stands for ``w`` equal values, for one if there is no such column; ``m`` counts a group's rows.
+    """
+    if "w" not in values.columns:
+        values = values.withColumn("w", F.lit(1).cast("long"))
     probes = lit_array([i / (CUTS + 1) for i in range(1, CUTS + 1)])
     found = []
     open_ = groups.select(F.col("k").alias("bk"), "lo", "hi", F.lit(0).cast("long").alias("below"), "m", "ranks")
@@ -44,29 +49,25 @@ def values_at_group_ranks(values: DataFrame, groups: DataFrame, limit: int = LIM
         found.append(one.select(F.col("bk").alias("k"), F.explode("ranks").alias("rank"), F.col("lo").alias("value")))
         inside = (F.col("k") == F.col("bk")) & (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))
         small = open_.filter((F.col("lo") < F.col("hi")) & (F.col("m") <= limit))
-        rows = data.join(small, inside).groupBy("bk", "lo").agg(
-            F.array_sort(F.collect_list("v")).alias("sorted"), F.first("below").alias("below"), F.first("ranks").alias("ranks")
-        )
-        rows = rows.select("bk", "sorted", "below", F.explode("ranks").alias("rank"))
-        found.append(rows.select(F.col("bk").alias("k"), "rank", F.get("sorted", (F.col("rank") - F.col("below")).cast("int")).alias("value")))
+        upto = F.sum("w").over(Window.partitionBy("bk", "lo").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # ``limit`` rows at most
+        rows = data.join(small, inside).select("bk", "v", "w", "ranks", (F.col("below") + upto - F.col("w")).alias("at"))
+        found.append(rows.select(F.col("bk").alias("k"), F.explode(_within(F.col("ranks"), F.col("at"), F.col("w"))).alias("rank"), F.col("v").alias("value")))
         large = cut_lineage(open_.filter((F.col("lo") < F.col("hi")) & (F.col("m") > limit)), "select-large")
         if large.isEmpty():
             break
-        if data is values:
-            data = cut_lineage(values, "select-values")  # read twice a round
         cuts = data.join(large, inside).groupBy("bk", "lo").agg(F.percentile_approx("v", probes, F.lit(20 * CUTS)).alias("cuts"))
         cut = large.join(cuts.withColumnsRenamed({"bk": "ck", "lo": "clo"}), (F.col("bk") == F.col("ck")) & (F.col("lo") == F.col("clo"))).drop("ck", "clo")
         cut = cut_lineage(cut, "select-cuts")
         at = index_below(F.col("cuts"), F.col("v"), CUTS)
         slot = 2 * at + F.coalesce((F.get("cuts", at) == F.col("v")).cast("int"), F.lit(0))
         parts = data.join(cut.select("bk", "lo", "hi", "cuts"), inside).groupBy("bk", F.col("lo").alias("of"), slot.alias("slot")).agg(
-            F.count(F.lit(1)).alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi")
+            F.count(F.lit(1)).alias("m"), F.sum("w").alias("all"), F.min("v").alias("lo"), F.max("v").alias("hi")
         )
         held = large.select(F.col("bk").alias("hk"), F.col("lo").alias("hlo"), F.col("below").alias("base"), "ranks")
         parts = parts.join(held, (F.col("bk") == F.col("hk")) & (F.col("of") == F.col("hlo")))
         before = Window.partitionBy("bk", "of").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)  # 127 rows at most
-        parts = parts.withColumn("below", F.col("base") + F.coalesce(F.sum("m").over(before), F.lit(0)))
-        parts = parts.withColumn("ranks", _within(F.col("ranks"), F.col("below"), F.col("m"))).filter(F.size("ranks") > 0)
+        parts = parts.withColumn("below", F.col("base") + F.coalesce(F.sum("all").over(before), F.lit(0)))
+        parts = parts.withColumn("ranks", _within(F.col("ranks"), F.col("below"), F.col("all"))).filter(F.size("ranks") > 0)
         open_ = cut_lineage(parts.select("bk", "lo", "hi", "below", "m", "ranks"), "select-open")
     out = found[0]
     for f in found[1:]:
@@ -80,14 +81,24 @@ def grouped_percentiles(
     """(by, ``out``: array of the interpolated percentiles at ``levels``, n): nulls left out, NaN above all numbers.
 
     A group without values has a null array; without ``by`` there is always one row. Groups of any size take
-    the same way: no group's values meet in one buffer beyond ``limit`` of them.
+    the same way: no group's values meet in one buffer beyond ``limit`` of them. The source is read once: equal values
+    are counted before anything is shuffled, and every round reads the counts.
     """
     levels = [float(q) for q in levels]
-    keyed = df.select(*by, packed_key(by).alias("k"), F.col(value).cast("double").alias("v"))
-    facts = keyed.groupBy(*by).agg(F.first("k").alias("k"), F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    keyed = df.select(packed_key(by).alias("k"), F.col(value).cast("double").alias("v"))
+    counted = cut_lineage(keyed.groupBy("k", "v").agg(F.count(F.lit(1)).alias("w")), "select-values")
+    keys = [F.col("k").getField(b).alias(b) for b in by]
+    known = F.col("v").isNotNull()
+    facts = counted.select("k", *keys, "v", "w").groupBy(*by).agg(
+        F.first("k").alias("k"),
+        F.coalesce(F.sum(F.when(known, F.col("w"))), F.lit(0).cast("long")).alias("n"),
+        F.count("v").alias("m"),
+        F.min("v").alias("lo"),
+        F.max("v").alias("hi"),
+    )
     facts = cut_lineage(facts, "select-groups")
-    groups = facts.filter(F.col("n") > 0).select("k", "lo", "hi", F.col("n").alias("m"), _wanted_ranks(levels, F.col("n")).alias("ranks"))
-    got = values_at_group_ranks(keyed.filter(F.col("v").isNotNull()).select("k", "v"), groups, limit)
+    groups = facts.filter(F.col("n") > 0).select("k", "lo", "hi", "m", _wanted_ranks(levels, F.col("n")).alias("ranks"))
+    got = values_at_group_ranks(counted.filter(known), groups, limit)
     got = got.groupBy(F.col("k").alias("gk")).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))
 
     def level(q: float) -> Column:

@@ -169,3 +169,27 @@ def test_stored_sketches_of_days_merge(spark):
         assert {r["n"] for r in errors if r["g"] == g} == {sum(1 for a, d, v in rows if a == g and d < 10)}
     none = [r for r in table.collect() if r["g"] == "none"][0]
     assert none["n"] == 0 and none["quantiles"] == [None] * 4
+
+
+def test_percentiles_store_counts_of_equal_values(spark, monkeypatch):
+    """Rounds read one row per distinct value, not one per row; repeats weigh as often as they occur."""
+    import numpy as np
+
+    from burstseries.operators import order_stats as O
+
+    stored = {}
+    keep = O.cut_lineage
+
+    def noted(df, name="cut"):
+        out = keep(df, name)
+        stored.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(O, "cut_lineage", noted)
+    values = [0.0] * 5000 + [float(i % 40) for i in range(1000)]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", None), (None, 2.5)], "g string, v double")
+    levels = [0.0, 0.5, 0.9, 0.95, 1.0]
+    got = {r["g"]: (r["percentiles"], r["n"]) for r in O.grouped_percentiles(df, ["g"], "v", levels, limit=8).collect()}
+    assert got["a"] == (np.percentile(values, [100 * q for q in levels]).tolist(), 6000)
+    assert got["b"] == (None, 0) and got[None] == ([2.5] * 5, 1)
+    assert stored["select-values"] == 42
