@@ -122,30 +122,29 @@ def unified_ticks(ticks: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def level_bins(ticks: DataFrame, bin_ms: int) -> DataFrame:
-    """Bytes per bin at address, address+port and subnet level in one pass.
+    """Bytes per bin at address, address+port and subnet level.
 
-    The table is first reduced to one row per (address, port, bin); the three levels are then
-    grouping sets over that reduced table.
+    An address lies in one subnet, so the rows are shuffled once, by (subnet, source file, bin), and each level is
+    summed where they then are: address+port first, the address level from it, the subnet level from that.
     """
     keyed = ticks.withColumns({"bin": rebin(F.col("window_start"), bin_ms), "subnet": subnet24(F.col("ip"))})
-    sums = [
-        F.sum("total_inbound_bytes").alias("total_inbound_bytes"),
-        F.sum("total_outbound_bytes").alias("total_outbound_bytes"),
-    ]
-    base = keyed.groupBy("subnet", "ip", "service_port", "source_file", "bin").agg(*sums)
-    c = F.col
-    sets = [
-        [c("ip"), c("source_file"), c("bin")],
-        [c("ip"), c("service_port"), c("source_file"), c("bin")],
-        [c("subnet"), c("source_file"), c("bin")],
-    ]
-    dims = [c("subnet"), c("ip"), c("service_port"), c("source_file"), c("bin")]
-    level = (
-        F.when(F.grouping("subnet") == 0, "subnet")
-        .when(F.grouping("service_port") == 0, "ip_service")
-        .otherwise("ip")
+    keyed = keyed.select("subnet", "ip", "service_port", "source_file", "bin", "total_inbound_bytes", "total_outbound_bytes")
+    totals = ["total_inbound_bytes", "total_outbound_bytes"]
+    sums = [F.sum(c).alias(c) for c in totals]
+    ports = keyed.repartition("subnet", "source_file", "bin").groupBy("subnet", "ip", "service_port", "source_file", "bin").agg(*sums)
+    addresses = ports.groupBy("subnet", "ip", "source_file", "bin").agg(*sums)
+    subnets = addresses.groupBy("subnet", "source_file", "bin").agg(*sums)
+
+    def level(df: DataFrame, name: str, *absent: str) -> DataFrame:
+        dims = ["subnet", "ip", "service_port", "source_file", "bin"]
+        cols = [F.lit(None).cast(ports.schema[d].dataType).alias(d) if d in absent else F.col(d) for d in dims]
+        return df.select(*cols, *totals, F.lit(name).alias("level"))
+
+    return (
+        level(ports, "ip_service", "subnet")
+        .unionByName(level(addresses, "ip", "subnet", "service_port"))
+        .unionByName(level(subnets, "subnet", "ip", "service_port"))
     )
-    return base.groupingSets(sets, *dims).agg(*sums, level.alias("level"))
 
 
 def pair_bins(pairs: DataFrame, bin_ms: int) -> DataFrame:

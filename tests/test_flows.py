@@ -170,3 +170,17 @@ def test_member_lookup_rules(spark):
     assert rows["1"]["s"] == [1.0, 2.0] and not rows["2"]["found"] and not rows["3"]["found"]
     counts = {r["grp"]: (r["found"], r["missing"]) for r in keys.member_counts(got, "grp").collect()}
     assert counts == {"g": (1, 1), "h": (0, 1), None: (1, 2)}
+
+
+def test_levels_share_one_shuffle(spark):
+    """All three levels of the bins are summed where one shuffle has put the rows."""
+    df = spark.range(100).selectExpr(
+        "id as window_start", "concat('10.0.', id % 3, '.', id % 7) as ip", "id % 5 as service_port", "'f' as source_file",
+        "id as total_inbound_bytes", "id as total_outbound_bytes",
+    )
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = flows.level_bins(df, 1000)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.replace("ReusedExchange", "").count("Exchange hashpartitioning") - plan.count("ReusedExchange") == 1, plan
