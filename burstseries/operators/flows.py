@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from burstseries.functions.ordered import join_on
 from burstseries.functions.ranges import WIDTH, dense_ranks
+from burstseries.session import cut_lineage
 
 TICK_MS = 100
 
@@ -161,16 +162,30 @@ def pair_bins(pairs: DataFrame, bin_ms: int) -> DataFrame:
 def rank_ports(ticks: DataFrame, rank_by: str = "row", width: int = WIDTH) -> DataFrame:
     """Replace the port by its dense rank inside the address, largest bytes first.
 
-    ``row`` ranks single aggregate rows, ``port_total`` the port's bytes over all windows. Only
-    distinct (address, bytes) rows are ranked, in value ranges of an address, then the rank is joined back.
+    ``row`` ranks single aggregate rows, ``port_total`` the port's bytes over all windows. The rows are stored and
+    shuffled once by address. Of addresses with over ``width`` rows only distinct (address, bytes) rows are ranked, in
+    value ranges of an address, then the rank is joined back.
     """
+    if rank_by not in ("row", "port_total"):
+        raise ValueError("rank_by is 'row' or 'port_total'")
     total = F.col("total_inbound_bytes") + F.col("total_outbound_bytes")
+    columns = ticks.columns
+    ticks = cut_lineage(ticks, "ticks")
+    hot = ticks.groupBy("ip").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > width).select("ip")
+    hot = cut_lineage(hot, "hot-addresses")  # at most rows / width
+    some = not hot.isEmpty()
+    named = join_on(ticks, F.broadcast(hot), ["ip"], "left_anti") if some else ticks
+    named = named.repartition("ip")
+    named = named.withColumn("__b", total if rank_by == "row" else F.sum(total).over(Window.partitionBy("ip", "service_port")))
+    rank = F.dense_rank().over(Window.partitionBy("ip").orderBy(F.col("__b").desc_nulls_last())).cast("long")
+    out = named.withColumn("service_port", rank).select(*columns)
+    if not some:
+        return out
+    named = join_on(ticks, F.broadcast(hot), ["ip"], "left_semi")
     if rank_by == "row":
-        named = ticks.withColumn("__b", total)
-    elif rank_by == "port_total":
-        sums = ticks.groupBy("ip", "service_port").agg(F.sum(total).alias("__b"))
-        named = join_on(ticks, sums, ["ip", "service_port"])
+        named = named.withColumn("__b", total)
     else:
-        raise ValueError("rank_by is 'row' or 'port_total'")
+        sums = named.groupBy("ip", "service_port").agg(F.sum(total).alias("__b"))
+        named = join_on(named, sums, ["ip", "service_port"])
     ranked = dense_ranks(named.select("ip", "__b").distinct(), ["ip"], "__b", out="__rank", descending=True, width=width)
-    return join_on(named, ranked, ["ip", "__b"]).withColumn("service_port", F.col("__rank")).select(*ticks.columns)
+    return out.unionByName(join_on(named, ranked, ["ip", "__b"]).withColumn("service_port", F.col("__rank")).select(*columns))

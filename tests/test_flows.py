@@ -184,3 +184,14 @@ def test_levels_share_one_shuffle(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert plan.replace("ReusedExchange", "").count("Exchange hashpartitioning") - plan.count("ReusedExchange") == 1, plan
+
+
+def test_port_ranks_take_one_shuffle(spark):
+    """Ranks of addresses that are not hot come from one shuffle of the rows by address, without a join."""
+    df = spark.range(200).selectExpr(
+        "id % 20 as window_start", "concat('10.0.0.', id % 6) as ip", "id % 5 as service_port", "'f' as source_file",
+        "id as total_inbound_bytes", "id as total_outbound_bytes",
+    )
+    for how in ("row", "port_total"):
+        plan = flows.rank_ports(df, how)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan, plan
