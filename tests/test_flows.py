@@ -175,7 +175,7 @@ def test_member_lookup_rules(spark):
 def test_levels_share_one_shuffle(spark):
     """All three levels of the bins are summed where one shuffle has put the rows."""
     df = spark.range(100).selectExpr(
-        "id as window_start", "concat('10.0.', id % 3, '.', id % 7) as ip", "id % 5 as service_port", "'f' as source_file",
+        "id as window_start", "concat('10.0.', id % 3, '.', id % 7) as ip", "id % 5 as service_port", "concat('f', id % 2) as source_file",
         "id as total_inbound_bytes", "id as total_outbound_bytes",
     )
     spark.conf.set("spark.sql.adaptive.enabled", "false")
