@@ -18,7 +18,8 @@ in one component already, so no link between different components is lost.
 
 Before full sets are moved, a pair must pass a bound that holds for certain. Each document that shares a key has
 1024 bits, one per range of shingle hashes, set where it has a shingle. A bit that only one of two documents has
-is a shingle the other lacks, so counting them gives the largest intersection the pair can have.
+is a shingle the other lacks, so counting them gives the largest intersection the pair can have. Pairs of keys
+joined again, whose number grows faster than the documents, pass the same bound with eight ranges a shingle next.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burstseries.llm.common import Words, discard, gram_hashes, list_array, mix, signed, stored, text_pieces
+from burstseries.llm.common import Words, discard, gram_hashes, list_array, mix, signed, starts, stored, text_pieces, whole_groups
 from burstseries.llm.components import component_labels
 from burstseries.llm.registry import query, table
 
@@ -46,6 +47,8 @@ _XOR = _RNG.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
 CHUNK_NAMES = [f"c{i}" for i in range(CHUNKS)]
 RANGES = 1024  # bits a document has for the bound on intersections
 RANGE_NAMES = [f"b{i}" for i in range(RANGES // 64)]
+CELL = 1 << 12  # about how many rows of a key are held against as many others by one task
+AT_ONCE = 1 << 18  # pairs looked at together
 
 
 def shingle_sets(piece, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,14 +141,23 @@ def range_bits(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.int64)
 
 
+def fine_bits(grams: np.ndarray) -> bytes:
+    """The ranges of hashes in which a document has a shingle, eight ranges a shingle at least."""
+    power = max(10, (8 * len(grams) - 1).bit_length())
+    bits = np.zeros(1 << power, dtype=bool)
+    bits[(grams >> np.uint64(64 - power)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in text_pieces(batch):
                 grams, sizes = shingle_sets(piece, n)
-                cols = [piece.column("id"), list_array(signed(grams), sizes, pa.int64())]
+                each = np.split(grams, np.cumsum(sizes)[:-1])
+                cols = [piece.column("id"), list_array(signed(grams), sizes, pa.int64()), pa.array(map(fine_bits, each), pa.binary())]
                 cols += [pa.array(np.ascontiguousarray(c)) for c in range_bits(grams, sizes).T]
-                yield pa.RecordBatch.from_arrays(cols, ["id", "grams", *RANGE_NAMES])
+                yield pa.RecordBatch.from_arrays(cols, ["id", "grams", "fine", *RANGE_NAMES])
 
     return run
 
@@ -166,12 +178,12 @@ def _confirm(share: int):
 
 
 def candidate_sets(ids: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """(id, grams, bits of the ranges): full sets of the documents named by ``ids``, made again from their texts.
+    """(id, grams, bits of the ranges, fine and coarse): full sets of the documents named by ``ids``, made again from their texts.
 
     Both passes over pairs read the bits and both confirming passes the sets, so the texts are shuffled once.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
-    schema = "id long, grams array<long>, " + ", ".join(f"{b} long" for b in RANGE_NAMES)
+    schema = "id long, grams array<long>, fine binary, " + ", ".join(f"{b} long" for b in RANGE_NAMES)
     return stored(texts.mapInArrow(_sets(n), schema), "near-sets")
 
 
@@ -182,6 +194,36 @@ def confirm(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     return two.select("a", "b", "grams_a", "grams_b").mapInArrow(_confirm(share), "a long, b long")
 
 
+def most_common(a: bytes, b: bytes, size_a: int, size_b: int) -> int:
+    """The largest intersection that two sets with these bits can have; the finer bits are folded."""
+    x, y = (np.unpackbits(np.frombuffer(v, dtype=np.uint8)) for v in (a, b))
+    if len(x) != len(y):
+        width = min(len(x), len(y))
+        x, y = (v.reshape(width, -1).max(axis=1) for v in (x, y))
+    # of a document's shingles those in ranges of its own are no common ones
+    return int((x & y).sum()) + min(size_a - int(x.sum()), size_b - int(y.sum()))
+
+
+def _may_be_similar(share: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, x, y = (batch.column(c).to_pylist() for c in ("fine_a", "fine_b", "size_a", "size_b"))
+            keep = [(100 + share) * most_common(*v) >= share * (v[2] + v[3]) for v in zip(a, b, x, y, strict=True)]
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b")], ["a", "b"])
+
+    return run
+
+
+def may_be_similar(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """The pairs (a, b) whose fine bits, an eighth of the room of the full sets, allow the similarity."""
+    bits = sets.select("id", "fine", F.size("grams").alias("size"))
+    for c in ("a", "b"):
+        pairs = pairs.join(bits.select(F.col("id").alias(c), F.col("fine").alias(f"fine_{c}"), F.col("size").alias(f"size_{c}")), c)
+    # an id with several texts has all combinations
+    return pairs.select("a", "b", "fine_a", "fine_b", "size_a", "size_b").mapInArrow(_may_be_similar(share), "a long, b long").distinct()
+
+
 def _common(a: str, b: str) -> Column:
     """Ranges in which both have a shingle."""
     out = None
@@ -203,21 +245,94 @@ def _close(a: str, b: str, share: int) -> Column:
     return sizes & (_distance(a, b) <= MAX_DISTANCE) & ((100 + share) * both >= share * (x + y))
 
 
-def _first_shared(a: str, b: str) -> Column:
-    """The key the two rows meet under is the first one that their signatures share.
+def _first_shared(key: int, c: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of rows ``i`` and ``j`` with one key meet under the first one that their signatures share.
 
-    ``place`` is the number of the key and ``left`` the symbol it leaves out. No earlier chunk may have at most one
-    differing symbol; within the chunk, one that does not differ at all counts for its first place only.
+    No earlier chunk may have at most one differing symbol; within the chunk, one that does not differ at all counts
+    for its first place only.
     """
-    close = None
-    for i, c in enumerate(CHUNK_NAMES):
-        marks = (F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")) + F.lit(_FILL)).bitwiseAND(F.lit(_GUARD))
-        bit = F.shiftleft((F.bit_count(marks) <= 1).cast("int"), i)
-        close = bit if close is None else close.bitwiseOR(bit)
-    chunk = F.shiftright(f"{a}.place", 2)
-    earlier = close.bitwiseAND(F.call_function("shiftleft", F.lit(1), chunk) - 1)
-    first = (F.col(f"{a}.place") % PLACES == 0) | (F.col(f"{a}.left") != F.col(f"{b}.left"))
-    return (earlier == 0) & first
+    chunk, place = divmod(key >> (3 * BITS), PLACES)
+    first = np.ones(len(i), dtype=bool)
+    for k in range(chunk):
+        first &= np.bitwise_count(((c[k][i] ^ c[k][j]) + _FILL) & _GUARD) > 1
+    if place:
+        first &= ((c[chunk][i] ^ c[chunk][j]) >> (FIELD * place)) & ((1 << BITS) - 1) != 0
+    return first
+
+
+def _pairs_of_sizes(n: np.ndarray, m: np.ndarray | None, share: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) with sizes that allow the similarity, ``AT_ONCE`` or so at a time; sizes rise. Without ``m``, i < j."""
+    if m is None:
+        m, lo = n, np.arange(1, len(n) + 1)
+    else:
+        lo = np.searchsorted(m, -(-share * n // 100), "left")
+    size = np.maximum(np.searchsorted(m, 100 * n // share, "right") - lo, 0)
+    ends = np.cumsum(size)
+    at = 0
+    while at < len(n):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE)))
+        mine = size[at:upto]
+        i = np.repeat(np.arange(at, upto), mine)
+        yield i, lo[i] + np.arange(len(i)) - np.repeat(np.cumsum(mine) - mine, mine)
+        at = upto
+
+
+def _apart(share: int):
+    """Rows sorted by key and cell -> the pairs of a cell, of different components, that ``_close`` lets pass."""
+    names = ["key", "cell", "block", "id", "label", "n_shingles", "spare", *CHUNK_NAMES, *RANGE_NAMES]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in whole_groups(batches, ["key", "cell"]):
+            order = np.lexsort([cols[names.index(k)] for k in ("n_shingles", "block", "cell", "key")])
+            key, cell, block, ident, label, n, spare, *rest = (c[order] for c in cols)
+            chunks, ranges = rest[:CHUNKS], [r.view(np.uint64) for r in rest[CHUNKS:]]  # bits are counted of absolute values
+            found = []
+            at = starts(key, cell)
+            for lo, hi in zip(at, np.append(at[1:], len(key)), strict=True):
+                if hi - lo < 2:
+                    continue
+                # the cell is one block, held against itself, or two
+                cut = lo + int(np.searchsorted(block[lo:hi], block[hi - 1]))
+                if cell[lo] >= 0 and cut == lo:
+                    continue
+                one, two = (n[lo:cut], n[cut:hi]) if cell[lo] >= 0 else (n[lo:hi], None)
+                for i, j in _pairs_of_sizes(one, two, share):
+                    i, j = i + lo, j + (lo if two is None else cut)
+                    keep = (label[i] != label[j]) & (ident[i] != ident[j])
+                    i, j = i[keep], j[keep]
+                    distance = np.zeros(len(i), dtype=np.int64)
+                    for k, c in enumerate(chunks, 1):
+                        distance += np.bitwise_count(((c[i] ^ c[j]) + _FILL) & _GUARD)
+                        if k in (8, 10, CHUNKS):
+                            keep = distance <= MAX_DISTANCE
+                            i, j, distance = i[keep], j[keep], distance[keep]
+                    keep = _first_shared(int(key[lo]), chunks, i, j)
+                    i, j = i[keep], j[keep]
+                    both = sum((np.bitwise_count(b[i] & b[j]).astype(np.int64) for b in ranges), np.minimum(spare[i], spare[j]))
+                    keep = (100 + share) * both >= share * (n[i] + n[j])
+                    a, b = ident[i[keep]], ident[j[keep]]
+                    found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+            if found:
+                a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return run, names
+
+
+def pairs_apart(rows: DataFrame, share: int) -> DataFrame:
+    """(a, b), a < b: pairs of ``rows`` that share a key, lie in different components and may be similar enough.
+
+    A key with many rows is dealt into blocks by id; each two blocks, and each with itself, are a cell of their own.
+    """
+    run, names = _apart(share)
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("rows") / CELL)).cast("int")
+    block = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    other = F.explode(F.sequence(F.lit(0), blocks - 1))
+    two = F.least("other", "block").cast("long") * F.lit(1 << 20) + F.greatest("other", "block")
+    dealt = rows.withColumn("block", block).withColumn("other", other)
+    dealt = dealt.withColumn("cell", F.when(F.col("other") == F.col("block"), -1 - F.col("block").cast("long")).otherwise(two))
+    dealt = dealt.select(*names).repartition("key", "cell").sortWithinPartitions("key", "cell")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, n: int = 3, share: int = 85) -> DataFrame:
@@ -261,19 +376,13 @@ def near_duplicates(docs: DataFrame, *, n: int = 3, share: int = 85) -> DataFram
     label = labels.withColumnsRenamed({"v": "id"})
     keyed = shared.join(label, "id", "left").select("key", "id", "pivot", F.coalesce("label", "id").alias("label"))
     keyed = keep(keyed, "near-keyed")
-    apart = keyed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-    rest = keyed.join(keep(apart, "near-apart"), "key", "left_semi").join(parts, "id")
-    place = F.shiftright("key", 3 * BITS).cast("int")
-    chunk = F.get(F.array(*CHUNK_NAMES), F.shiftright(place, 2))
-    left = F.call_function("shiftright", chunk, FIELD * (place % PLACES)).bitwiseAND(F.lit((1 << BITS) - 1))
-    rest = rest.withColumns({"place": place, "left": left})
-    rest = keep(rest.select("key", "place", "left", "id", "pivot", "label", "n_shingles", *CHUNK_NAMES, "spare", *RANGE_NAMES), "near-rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    cond = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label"))
-    # a pair that shares several keys comes out of the first alone, where the pivot has met all others
-    cond &= (F.col("x.id") != F.col("x.pivot")) & _close("x", "y", share) & _first_shared("x", "y")
-    more = x.join(y, cond).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    late = keep(confirm(keep(more, "near-more"), sets, share), "near-late-links")
+    apart = keyed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("rows"))
+    apart = keep(apart.filter("lo < hi").select("key", "rows"), "near-apart")
+    # the pivot has met all others
+    rest = keyed.filter("id <> pivot").join(apart, "key").join(parts, "id")
+    more = pairs_apart(rest.select("key", "rows", "id", "label", "n_shingles", "spare", *CHUNK_NAMES, *RANGE_NAMES), share)
+    more = keep(may_be_similar(keep(more, "near-more"), sets, share), "near-maybe")
+    late = keep(confirm(more, sets, share), "near-late-links")
     if not late.isEmpty():
         labels = component_labels(links.unionByName(copies).unionByName(late))
     discard(*spent, sets)  # the result reads the signatures and the labels

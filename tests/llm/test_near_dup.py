@@ -66,3 +66,53 @@ def test_one_of_each_group_stays(odd):
     assert got.columns == odd.columns
     ids = [r["doc_id"] for r in got.collect()]
     assert ids.count(8) == 1 and 9 not in ids and ids.count(None) == 1 and {1, 2, 3} <= set(ids)
+
+
+def test_pairs_apart_equal_enumeration(spark, monkeypatch):
+    """Pairs of a key, in one cell and dealt into many, are those with the sizes, distance and bound, each under one key."""
+    import numpy as np
+
+    from burstseries.llm import near_dup as nd
+
+    rng = np.random.default_rng(5)
+    rows, base = [], rng.integers(0, 1 << nd.BITS, nd.SYMBOLS)
+    for d in range(90):
+        symbols = base.copy()
+        other = rng.random(nd.SYMBOLS) < rng.choice([0.1, 0.3, 0.5])
+        symbols[other] = rng.integers(0, 1 << nd.BITS, other.sum())
+        grams = np.flatnonzero(rng.random(rng.integers(100, 140)) < rng.choice([0.8, 0.95])).astype(np.uint64)
+        bits = nd.range_bits(nd.mix(grams), np.array([len(grams)]))[0]
+        spare = len(grams) - int(np.bitwise_count(bits.view(np.uint64)).sum())
+        chunks = [int(sum(int(v) << (nd.FIELD * p) for p, v in enumerate(symbols[4 * k : 4 * k + 4]))) for k in range(nd.CHUNKS)]
+        rows.append((d, int(rng.integers(3)), len(grams), spare, chunks, bits, symbols))
+    want = set()
+    for x in rows:
+        for y in rows:
+            other = x[6] != y[6]
+            both = int(np.bitwise_count((x[5] & y[5]).view(np.uint64)).sum()) + min(x[3], y[3])
+            near = 100 * min(x[2], y[2]) >= 70 * max(x[2], y[2]) and 170 * both >= 70 * (x[2] + y[2])
+            meet = (other.reshape(nd.CHUNKS, -1).sum(axis=1) <= 1).any()
+            if x[0] < y[0] and x[1] != y[1] and other.sum() <= nd.MAX_DISTANCE and near and meet:
+                want.add((x[0], y[0]))
+    names = ["id", "label", "n_shingles", "spare", *nd.CHUNK_NAMES, *nd.RANGE_NAMES]
+    plain = [(r[0], r[1], r[2], r[3], *r[4], *r[5].tolist()) for r in rows]
+    df = spark.createDataFrame(plain, ", ".join(f"{c} long" for c in names))
+    df = nd.index_keys(df).join(df, "id").withColumn("rows", F.lit(len(rows)))
+    for cell in (1 << 12, 13):
+        monkeypatch.setattr(nd, "CELL", cell)
+        got = [(r["a"], r["b"]) for r in nd.pairs_apart(df, 70).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert len(want) > 100
+
+
+def test_fine_bits_never_lose_a_common_shingle():
+    import numpy as np
+
+    from burstseries.llm.near_dup import fine_bits, most_common
+
+    rng = np.random.default_rng(7)
+    for _ in range(100):
+        pool = rng.integers(0, 1 << 63, 600, dtype=np.uint64) * np.uint64(2)
+        a, b = (np.unique(rng.choice(pool, rng.integers(1, 500))) for _ in range(2))
+        both = len(np.intersect1d(a, b))
+        assert both <= most_common(fine_bits(a), fine_bits(b), len(a), len(b)) <= both + 0.35 * min(len(a), len(b)) + 5
